@@ -23,8 +23,8 @@ from quaylark.llm import common
 
 WINDOW = 20
 NULL_ID = -(1 << 63)
-_SENT = "bucket int, doc_id long, starts binary, packed binary"
-_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("starts", pa.binary()), ("packed", pa.binary())])
+_SENT = "bucket int, late boolean, packed binary"
+_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("late", pa.bool_()), ("packed", pa.binary())])
 
 
 def _id(value) -> int:
@@ -59,16 +59,10 @@ def _send(buckets: int, window: int):
             order = np.lexsort((starts, ids[doc], h))
             first = np.ones(len(h), bool)
             first[1:] = h[order][1:] != h[order][:-1]
-            out = {"bucket": [], "doc_id": [], "starts": [], "packed": []}
             # the block's first of each window and rows with the same doc_id and start are the same window
             owner = order[np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))]
             late = order[(ids[doc[owner]] != ids[doc[order]]) | (starts[owner] != starts[order])]
-            late.sort()
-            for a, b in _runs(doc[late]):
-                out["bucket"].append(int(ids[doc[late[a]]] % buckets))
-                out["doc_id"].append(int(ids[doc[late[a]]]))
-                out["starts"].append(starts[late[a:b]].astype("<u4").tobytes())
-                out["packed"].append(None)
+            rows = [(to, True, packed) for to, packed in pack_starts(ids[doc[late]], starts[late], buckets)]
             kept = np.sort(order[first])
             q, bucket = np.divmod(h[kept], np.uint64(buckets))
             by = np.argsort(bucket, kind="stable")
@@ -78,12 +72,9 @@ def _send(buckets: int, window: int):
                 steps = np.diff(starts[at], prepend=0)
                 steps[docs[:, 0]] = starts[at[docs[:, 0]]]
                 head = np.array([b - a, len(docs)], "<u4").tobytes()
-                out["bucket"].append(int(bucket[by[a]]))
-                out["doc_id"].append(None)
-                out["starts"].append(None)
                 named = ids[doc[at[docs[:, 0]]]]
-                out["packed"].append(head + common.planes(np.diff(named, prepend=0), 8) + common.planes(docs[:, 1], 4) + common.planes(steps, 4) + common.planes(q[by[a:b]], n_bytes))
-            yield pa.RecordBatch.from_pydict(out, schema=_SENT_ARROW)
+                rows.append((int(bucket[by[a]]), False, head + common.planes(np.diff(named, prepend=0), 8) + common.planes(docs[:, 1], 4) + common.planes(steps, 4) + common.planes(q[by[a:b]], n_bytes)))
+            yield pa.RecordBatch.from_pydict({name: [r[k] for r in rows] for k, name in enumerate(_SENT_ARROW.names)}, schema=_SENT_ARROW)
 
     def read(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n, m = (int(x) for x in np.frombuffer(packed, "<u4", 2))
@@ -110,20 +101,44 @@ def _runs(values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(values)]))
 
 
+def pack_starts(ids: np.ndarray, starts: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    """Start positions of many documents, packed into one row for each part of the documents."""
+    order = np.lexsort((starts, ids, ids % parts))
+    ids, starts = ids[order], starts[order]
+    out = []
+    for a, b in _runs(ids % parts):
+        docs = np.array([(x, y - x) for x, y in _runs(ids[a:b])], np.int64)
+        steps = np.diff(starts[a:b], prepend=0)
+        steps[docs[:, 0]] = starts[a + docs[:, 0]]
+        head = np.array([b - a, len(docs)], "<u4").tobytes()
+        out.append((int(ids[a] % parts), head + common.planes(np.diff(ids[a + docs[:, 0]], prepend=0), 8) + common.planes(docs[:, 1], 4) + common.planes(steps, 4)))
+    return out
+
+
+def unpack_starts(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, m = (int(x) for x in np.frombuffer(packed, "<u4", 2))
+    named = np.cumsum(common.unplanes(packed[8:], m, 8).astype(np.int64))
+    counts = common.unplanes(packed[8 + 8 * m :], m, 4).astype(np.int64)
+    steps = common.unplanes(packed[8 + 12 * m :], n, 4).astype(np.int64)
+    total, begins = np.cumsum(steps), np.cumsum(counts) - counts
+    return np.repeat(named, counts), total - np.repeat(total[begins] - steps[begins], counts)
+
+
 def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, starts): packed starts of windows that also start earlier, in one or more rows a document."""
+    """(doc_id, starts): for each document with any, the start positions, packed, of its windows that also start earlier."""
     common.shipped(docs.sparkSession)
     buckets = common.bucket_count(docs)
     send, read = _send(buckets, window)
 
     def answer(table: pa.Table) -> pa.Table:
-        out_ids, out_starts, parts = [], [], []
-        for row in range(table.num_rows):
-            if (packed := table.column("packed")[row].as_py()) is None:
-                out_ids.append(table.column("doc_id")[row].as_py())
-                out_starts.append(table.column("starts")[row].as_py())
+        late_ids, late_starts, parts = [], [], []
+        for late, packed in zip(table.column("late").to_pylist(), table.column("packed")):
+            if late:
+                ids, starts = unpack_starts(packed.as_py())
+                late_ids.append(ids)
+                late_starts.append(starts)
             else:
-                parts.append(read(packed))
+                parts.append(read(packed.as_py()))
         if parts:
             q, ids, starts = (np.concatenate(x) for x in zip(*parts))
             del parts
@@ -132,21 +147,27 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             first = np.ones(len(q), bool)
             first[1:] = q[1:] != q[:-1]
             owner = np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
-            late = np.flatnonzero((ids != ids[owner]) | (starts != starts[owner]))
-            late = late[np.lexsort((starts[late], ids[late]))]
-            for a, b in _runs(ids[late]):
-                out_ids.append(int(ids[late[a]]))
-                out_starts.append(starts[late[a:b]].astype("<u4").tobytes())
-        return pa.table({"doc_id": pa.array(out_ids, pa.int64()), "starts": pa.array(out_starts, pa.binary())})
+            late = (ids != ids[owner]) | (starts != starts[owner])
+            late_ids.append(ids[late])
+            late_starts.append(starts[late])
+        rows = pack_starts(np.concatenate(late_ids), np.concatenate(late_starts), buckets)
+        return pa.table({"to": pa.array([r[0] for r in rows], pa.int32()), "packed": pa.array([r[1] for r in rows], pa.binary())})
+
+    def gather(table: pa.Table) -> pa.Table:
+        ids, starts = (np.concatenate(x) for x in zip(*(unpack_starts(p.as_py()) for p in table.column("packed"))))
+        order = np.lexsort((starts, ids))
+        ids, starts = ids[order], starts[order].astype("<u4")
+        runs = _runs(ids)
+        return pa.table({"doc_id": pa.array([int(ids[a]) for a, _ in runs], pa.int64()), "starts": pa.array([starts[a:b].tobytes() for a, b in runs], pa.binary())})
 
     sent = docs.select("doc_id", "text").mapInArrow(send, _SENT)
-    return sent.groupBy("bucket").applyInArrow(answer, "doc_id long, starts binary")
+    answered = sent.groupBy("bucket").applyInArrow(answer, "to int, packed binary")
+    return answered.groupBy("to").applyInArrow(gather, "doc_id long, starts binary")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, intervals (start, end in words, maximal, end exclusive), kept_text."""
-    found = repeated_starts(docs, window).groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
-    found = found.withColumnRenamed("doc_id", "key")
+    found = repeated_starts(docs, window).withColumnRenamed("doc_id", "key")
     joined = docs.select("doc_id", "text").join(found, F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("key"), "left").select("doc_id", "text", "starts")
 
     def cut(batches):
@@ -158,7 +179,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 spans, gone = [], 0
                 if (packed := starts[i].as_py()) and words:
                     change = np.zeros(len(words) + 1, np.int64)
-                    at = np.concatenate([np.frombuffer(x, "<u4") for x in packed]).astype(np.int64)
+                    at = np.frombuffer(packed, "<u4").astype(np.int64)
                     at = at[at < len(words)]
                     np.add.at(change, at, 1)
                     np.add.at(change, np.minimum(at + window, len(words)), -1)

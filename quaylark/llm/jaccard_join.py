@@ -152,7 +152,8 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, like: int = LIKE) -> D
             t, d = tokens[lo[k] : hi[k]], dfs[lo[k] : hi[k]]
             open_ = prefix_length(size, like) - (size - len(t))
             if open_ > 0 and len(t):
-                digests.append(xxhash.xxh3_128_digest(t.tobytes(), len(t)))
+                # only sets without shingles of their own can equal another
+                digests.append(xxhash.xxh3_128_digest(t.tobytes(), len(t)) if len(t) == size else b"own" + int(ids[k]).to_bytes(8, "little", signed=True))
                 packs.append(common.planes(d, 4) + common.planes(t, 8))
                 prefixes.append(t[:open_])
             else:

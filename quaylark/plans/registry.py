@@ -2,5 +2,26 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Register a query under its function's name; oracle: the same rows in SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle.strip()
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from quaylark.plans import events, models, relational, series, statistics, streams, texts  # noqa: F401
+
+
+_load()

@@ -128,6 +128,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
 
 
+def sampled(rows: DataFrame, by: list[str], most: int) -> DataFrame:
+    """At most `most` rows, spread over all by a hash of the columns `by`; all rows where there are no more."""
+    n = rows.count()
+    if n > most:
+        rows = rows.where(F.pmod(F.xxhash64(*by), F.lit(1 << 24)) < int(0.95 * most / n * (1 << 24)))
+    return rows.limit(most)
+
+
 def shipped(spark: SparkSession) -> None:
     from quaylark.session import ship
 

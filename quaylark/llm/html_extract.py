@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from quaylark.llm import common
 
-#: Pages of the table that the labeller is trained on, characters read of each, and pages made from templates.
-PAGES, PAGE_CHARS, MADE = 240, 40_000, 360
+#: Pages of the table that the labeller is trained on, and pages made from templates.
+PAGES, MADE = 240, 360
 #: Blocks of a training page at most; labelling reads all.
 TRAIN_BLOCKS = 90
 PATH, WORDS, COUNTS, HIDDEN = 96, 32, 8, 16
@@ -375,8 +375,8 @@ def train(pages: list[str]) -> Labeller:
 
 def fit(pages: DataFrame, html_column: str = "html", sample: int = PAGES) -> Labeller:
     """A labeller trained on at most `sample` pages of the table."""
-    rows = pages.where(F.col(html_column).isNotNull()).select(F.substring(html_column, 1, PAGE_CHARS).alias("page"), F.xxhash64(html_column).alias("h"))
-    return train([r.page for r in rows.orderBy("h").limit(sample).select("page").toLocalIterator()])
+    rows = pages.where(F.col(html_column).isNotNull()).select(F.col(html_column).alias("page"))
+    return train([r.page for r in common.sampled(rows, ["page"], sample).collect()])
 
 
 def extract(df: DataFrame, labeller: Labeller, html_column: str = "html") -> DataFrame:

@@ -28,8 +28,6 @@ from quaylark.llm import common
 
 #: Labelled documents that the filters are fitted on.
 SAMPLE = 4000
-#: Bytes of a sampled text that are read for training.
-SAMPLE_BYTES = 8000
 SIZES = (2, 3, 4)
 SLOT_BITS = 20
 PROBES = 3
@@ -65,6 +63,25 @@ def pieces(data: bytes):
         yield data[at : at + _PIECE + max(SIZES) - 1]
 
 
+def counted(texts) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of the texts and their counts, summed up a few million at a time."""
+    codes, n, held, size = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
+
+    def add() -> tuple[np.ndarray, np.ndarray]:
+        found, times = np.unique(np.concatenate(held), return_counts=True)
+        every, at = np.unique(np.concatenate((codes, found)), return_inverse=True)
+        return every, np.bincount(at, np.concatenate((n, times)), len(every)).astype(np.int64)
+
+    for text in texts:
+        for piece in pieces(text):
+            held.append(grams(piece))
+            size += len(held[-1])
+            if size > 2_000_000:
+                codes, n = add()
+                held, size = [], 0
+    return add() if held else (codes, n)
+
+
 def slots(codes: np.ndarray) -> list[np.ndarray]:
     mixed = codes * _ODD[0]
     mixed ^= mixed >> np.uint64(29)
@@ -82,8 +99,7 @@ class Filters:
         langs = sorted({lang for _, lang in rows})[:63]
         counts = []
         for lang in langs:
-            found = [grams(normal(text.encode("utf-8", "surrogatepass")[:SAMPLE_BYTES].decode("utf-8", "ignore"))) for text, x in rows if x == lang]
-            codes, n = np.unique(np.concatenate(found), return_counts=True)
+            codes, n = counted(normal(text) for text, x in rows if x == lang)
             counts.append((codes, n, max(1, int(n.sum()))))
         every = np.unique(np.concatenate([c for c, _, _ in counts])) if counts else np.empty(0, np.uint64)
         rates = np.zeros((len(langs), len(every)))
@@ -130,10 +146,8 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Filters:
     """Filters from at most `sample` rows of labelled that have text and lang."""
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    # only hashes are ordered; texts are cut before they leave the executors
-    rows = rows.select(F.substring(text, 1, SAMPLE_BYTES).alias("t"), F.col(lang).alias("l"), F.xxhash64(text).alias("h")).orderBy("h", "l").limit(sample)
-    return Filters.fit([(r.t, r.l) for r in rows.select("t", "l").toLocalIterator()])
+    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"))
+    return Filters.fit([(r.t, r.l) for r in common.sampled(rows, ["t"], sample).collect()])
 
 
 def identify(df: DataFrame, filters: Filters, text: str = "text") -> DataFrame:

@@ -34,7 +34,7 @@ def placed(spark, d):
     return rows.select(F.concat(F.lit("Brand#"), (F.col("ticker") % 25 + 1).cast("string")).alias("ticker"), F.col("ticker").alias("user_id"), (F.col("trading_index") * 20).alias("trading_index"), "direction", "score", "event_type")
 
 
-@query(f"""{_AT} SELECT x.user_id, x.trading_index, round(b.close / a.close - 1, 6) AS ret, CASE WHEN b.close / a.close - 1 > 0.001 THEN 1.0 WHEN b.close / a.close - 1 <= 0.001 THEN 0.0 END AS up
+@query(f"""{_AT} SELECT x.user_id, x.trading_index, round(b.close / a.close - 1, 6) AS ret, CASE WHEN b.close / a.close - 1 > 0.001 THEN 1e0 WHEN b.close / a.close - 1 <= 0.001 THEN 0e0 END AS up
 FROM x LEFT JOIN panel a ON a.ticker = x.ticker AND a.trading_index = x.trading_index + CASE WHEN x.score < 0 THEN 1 ELSE 0 END
 LEFT JOIN panel b ON b.ticker = x.ticker AND b.trading_index = x.trading_index + CASE WHEN x.score < 0 THEN 1 ELSE 0 END + 5""")
 def event_outcomes_shifted_entry(spark, d):
@@ -93,7 +93,7 @@ def ticker_news_groups(spark, d):
     return f.groupBy("ticker", "session").agg(*(F.count_if(F.col("grp") == g).alias(g) for g in ("market", "legal", "firm")), F.round(F.avg((F.col("grp") == "firm").cast("double")), 6).alias("firm_share"))
 
 
-@query(f"WITH {RETURNS}, z AS (SELECT *, r / nullif(CASE WHEN count(r) OVER w >= 10 THEN stddev_samp(r) OVER w END, 0) AS z FROM ret WINDOW w AS (PARTITION BY ticker ORDER BY trading_index ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)), f AS (SELECT *, lead(r) OVER (PARTITION BY ticker ORDER BY trading_index) AS r1 FROM z) SELECT date, ticker, CAST(sign(z) AS INTEGER) AS direction, round(sign(z) * r1, 6) AS signed, CASE WHEN r1 IS NOT NULL THEN CASE WHEN sign(z) * r1 > 0 THEN 1.0 ELSE 0.0 END END AS continued FROM f WHERE abs(z) > 1.5")
+@query(f"WITH {RETURNS}, z AS (SELECT *, r / nullif(CASE WHEN count(r) OVER w >= 10 THEN stddev_samp(r) OVER w END, 0) AS z FROM ret WINDOW w AS (PARTITION BY ticker ORDER BY trading_index ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)), f AS (SELECT *, lead(r) OVER (PARTITION BY ticker ORDER BY trading_index) AS r1 FROM z) SELECT date, ticker, CAST(sign(z) AS INTEGER) AS direction, round(sign(z) * r1, 6) AS signed, CASE WHEN r1 IS NOT NULL THEN CASE WHEN sign(z) * r1 > 0 THEN 1e0 ELSE 0e0 END END AS continued FROM f WHERE abs(z) > 1.5")
 def continuation_events(spark, d):
     from quaylark.plans.series import _returns
 

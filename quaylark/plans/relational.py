@@ -40,7 +40,7 @@ def dim_lookup_default(spark, d):
     return R.lookup(table(spark, d, "events"), F.broadcast(dim), ["event_type"], {"grp": "other"}).select("event_id", "grp")
 
 
-@query("SELECT event_id, CASE WHEN z IS NULL THEN NULL WHEN abs(z) > 0.5 THEN CAST(sign(z) AS INTEGER) ELSE 0 END AS class, CASE WHEN z IS NOT NULL THEN CASE WHEN z > 1 THEN 1.0 ELSE 0.0 END END AS big FROM (SELECT event_id, nullif(round((value - 50) / 40, 3), 0.5) AS z FROM events)")
+@query("SELECT event_id, CASE WHEN z IS NULL THEN NULL WHEN abs(z) > 0.5 THEN CAST(sign(z) AS INTEGER) ELSE 0 END AS class, CASE WHEN z IS NOT NULL THEN CASE WHEN z > 1 THEN 1e0 ELSE 0e0 END END AS big FROM (SELECT event_id, nullif(round((value - 50) / 40, 3), 0.5) AS z FROM events)")
 def three_class_flags(spark, d):
     rows = table(spark, d, "events").withColumn("z", F.nullif(F.round((F.col("value") - 50) / 40, 3), F.lit(0.5)))
     return rows.select("event_id", R.three_classes(F.col("z")).alias("class"), R.flag(F.col("z") > 1, F.col("z")).alias("big"))

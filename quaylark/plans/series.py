@@ -101,7 +101,7 @@ f AS (SELECT date, trading_index, CASE WHEN count(r) OVER f5 = 5 THEN sum(r) OVE
   WINDOW f5 AS (ORDER BY trading_index ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), f1 AS (ORDER BY trading_index ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING), b60 AS (ORDER BY trading_index ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
 z AS (SELECT *, r5 / (sd * sqrt(5)) AS z5 FROM f)
 SELECT date, round(r1, 6) AS r1, round(r5, 6) AS r5, round(z5, 5) AS z5, CASE WHEN z5 IS NULL THEN NULL WHEN abs(z5) > 0.5 THEN CAST(sign(z5) AS INTEGER) ELSE 0 END AS y5,
-  CASE WHEN z5 IS NOT NULL THEN CASE WHEN abs(z5) > 1.5 THEN 1.0 ELSE 0.0 END END AS big FROM z""")
+  CASE WHEN z5 IS NOT NULL THEN CASE WHEN abs(z5) > 1.5 THEN 1e0 ELSE 0e0 END END AS big FROM z""")
 def forward_targets(spark, d):
     rows = daily(spark, d).withColumn("r", F.ln("level") - F.lag(F.ln("level")).over(S.by(None)))
     rows = rows.withColumns({"r1": S.ahead("r", 1, 1, None), "r5": S.ahead("r", 1, 5, None), "sd": S.rolled(F.stddev_samp, "r", 60, 40, member=None)})

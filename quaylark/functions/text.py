@@ -50,7 +50,8 @@ def text_hash(text: Column, normalise: bool = True, chars: int = 2000) -> Column
 
 def known_groups(text: Column, vocabulary: list[str], sep: str = ",") -> Column:
     """Sorted distinct members of the vocabulary in a joined list."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), sep), lambda x: F.trim(x))
+    # a JSON list of strings is read like a plain one
+    parts = F.transform(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\[\]\"]", ""), sep), lambda x: F.trim(x))
     return F.array_join(F.array_sort(F.array_distinct(F.filter(parts, lambda x: x.isin(vocabulary)))), sep)
 
 

@@ -69,7 +69,7 @@ def novelty(text: str, start: int, end: int) -> float:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end), in order."""
     low, out = text.lower(), []
-    if any(name in low for name in NAMES) or not text.isascii():
+    if any(name in low for name in NAMES):
         out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]

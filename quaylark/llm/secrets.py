@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 import zstandard
@@ -36,7 +37,8 @@ NAMES = ("passw", "secret", "token", "api")
 # Words after which a string may be secret
 SENSITIVE = ("password", "passwd", "passphrase", "secret", "token", "apikey", "api_key", "api-key", "api key", "credential", "private_key", "private key", "access_key", "access key", "authorization", "bearer", "client_id", "signature")
 SENSITIVE_RE = re.compile("|".join(map(re.escape, SENSITIVE)))
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LONG = 16
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LONG)
 # Identifiers of code that the compressor knows beforehand
 IDENTIFIERS = " ".join(
     "return import from class def self None True False function const let var public private static void string int float bool null "
@@ -81,14 +83,20 @@ def novel_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int,
     low, out, done = text.lower(), [], 0
     if len(low) != len(text):  # lower case that changes lengths would move the spans
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-    covered = [(s, e) for s, _, e in known]
+    covered: list[list[int]] = []  # known spans, overlapping ones as one
+    for s, _, e in known:
+        if covered and s < covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], e)
+        else:
+            covered.append([s, e])
+    begins = [s for s, _ in covered]
     for word in SENSITIVE_RE.finditer(low):
-        for m in CANDIDATE.finditer(text, max(done, word.end()), min(len(text), word.end() + REACH + 4096)):
-            if m.start() > word.end() + REACH:
-                break
-            done = m.end()
-            value = m[0]
-            if any(s < m.end() and m.start() < e for s, e in covered) or not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
+        last, at = word.end() + REACH, max(done, word.end())
+        while (near := CANDIDATE.search(text, at, last + LONG)) and near.start() <= last:
+            m = CANDIDATE.match(text, near.start())  # all of it, however long
+            at = done = m.end()
+            value, k = m[0], bisect_left(begins, m.end())
+            if k and covered[k - 1][1] > m.start() or not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
                 continue
             if novelty(text, m.start(), m.end()) >= NOVEL:
                 out.append((m.start(), 3, m.end()))

@@ -165,10 +165,10 @@ def cs_rank_pct(spark, d):
     return prices(spark, d).select("date", "ticker", F.round(S.rank_share("close", ["date"]), 6).alias("share"))
 
 
-@query(f"WITH {DAILY} SELECT date, round(CASE WHEN count(level) OVER w >= 40 THEN avg(level) OVER w END, 4) AS mean FROM daily WINDOW w AS (ORDER BY trading_index ROWS UNBOUNDED PRECEDING)")
+@query(f"WITH {DAILY} SELECT date, floor(CASE WHEN count(level) OVER w >= 40 THEN avg(level) OVER w END * 1e4 + 0.3) / 1e4 AS mean FROM daily WINDOW w AS (ORDER BY trading_index ROWS UNBOUNDED PRECEDING)")
 def expanding_mean(spark, d):
     w = S.by(None).rowsBetween(Window.unboundedPreceding, 0)
-    return daily(spark, d).select("date", F.round(F.when(F.count("level").over(w) >= 40, F.avg("level").over(w)), 4).alias("mean"))
+    return daily(spark, d).select("date", fixed(F.when(F.count("level").over(w) >= 40, F.avg("level").over(w)), 4).alias("mean"))
 
 
 @query("""WITH u AS (SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1 HAVING count(*) >= 2),

@@ -137,7 +137,8 @@ def scan(df: DataFrame, text: str = "text", mark: str | None = None) -> DataFram
                 said = value.as_py()
                 base, every = spans(said or "")
                 row = [*(sum(k == kind for _, k, _ in every) for kind in range(4)), _joined(base), _joined(every)]
-                row += [said if said is None else redacted(said, every, mark)] * (mark is not None)
+                if mark is not None:
+                    row.append(said if said is None else redacted(said, every, mark))
                 for column, x in zip(columns, row):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, kind) for c, (_, kind) in zip(columns, extra))], [*kept, *(name for name, _ in extra)])

@@ -46,6 +46,7 @@ def test_redaction_and_rows(spark):
     got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, spans string"), mark="[SECRET]").collect()
     assert [r.clean for r in got] == ['x [SECRET]" y', None, "", "clean text é"]
     assert got[0].spans == "assign:2:51,hex:11:51" and got[0].n_hex == 1 and got[1].spans == ""
+    assert [r.n_hex for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()] == [1, 0, 0, 0]
     assert secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, spans string").limit(0)).collect() == []
 
 

@@ -119,7 +119,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         kept = moved.join(parent.withColumnRenamed("b", "m"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = stored(jumped.unionByName(kept).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
         # done when each id has one parent and no parent has one
-        open_ = after.groupBy("a").count().where("count > 1").limit(1).count() or after.join(after.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
+        ends = after.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(after.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        open_ = ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").limit(1).count()
         now = after
         if not open_:
             break

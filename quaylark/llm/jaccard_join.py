@@ -35,6 +35,8 @@ LIKE = 80
 Q_BYTES = 5
 #: Shared shingles of one task's trie; larger groups are cut into chunks and joined chunk by chunk.
 CHUNK = 1_500_000
+#: Shared shingles that are never worth a cut, and chunks of a group that a task could hold whole.
+LEAST_CHUNK, MOST_CUTS = 20_000, 16
 
 _SETS = "doc_id long, n long, digest binary, packed binary, prefix array<long>"
 
@@ -274,17 +276,22 @@ def similar_components(docs: DataFrame, shingle: int = SHINGLE, like: int = LIKE
     sets = stored(shingle_sets(docs, shingle, like), "sets")
     open_ = sets.where("digest IS NOT NULL")
     # equal sets are one class, known by its least id
-    classes = open_.groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    member = stored(open_.select("doc_id", "n", "digest").join(classes, ["digest", "n"]).where("copies > 1").select("doc_id", "rep"), "member")
+    # (sums are stored before they meet their rows again: a join of two plain tables can split a group of copies)
+    classes = stored(open_.groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "classes")
+    member = stored(open_.select("doc_id", "n", "digest").join(classes, ["digest", "n"]).select("doc_id", "rep"), "member")
     copies = member.where("doc_id <> rep").select("doc_id")
     reps = open_.join(copies, "doc_id", "left_anti")
     # groups that meet in a prefix shingle: star edges to the least member
     posted = reps.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("id"))
-    least = posted.groupBy("token").agg(F.min("id").alias("m"), F.count("*").alias("c")).where("c > 1").select("token", "m")
+    least = stored(posted.groupBy("token").agg(F.min("id").alias("m"), F.count("*").alias("c")).where("c > 1").select("token", "m"), "least")
     stars = posted.join(least, "token").where("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b")).distinct()
     groups = stored(common.components(stars), "groups")
     chunks = groups.join(sets.select(F.col("doc_id").alias("id"), (F.octet_length("packed") / 12).cast("long").alias("size")), "id").groupBy("component").agg(F.sum("size").alias("size"))
-    chunks = chunks.select(F.col("component"), F.ceil(F.col("size") / CHUNK).cast("int").alias("k"))
+    chunks = stored(chunks, "chunks")
+    # a group that stands out among the tasks is cut, MOST_CUTS at most as each chunk is sent as often; what a task can't hold always is
+    fair = max(LEAST_CHUNK, 4 * (chunks.agg(F.sum("size")).first()[0] or 0) // int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cuts = F.greatest(F.ceil(F.col("size") / CHUNK), F.least(F.lit(MOST_CUTS), F.ceil(F.col("size") / fair)))
+    chunks = chunks.select("component", cuts.cast("int").alias("k"))
     placed = groups.join(chunks, "component").withColumn("c", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     placed = placed.select("id", F.struct("component", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j")).alias("piece"), (F.col("c") > F.col("other")).alias("second"))

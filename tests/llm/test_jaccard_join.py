@@ -68,6 +68,15 @@ def test_chunked_groups(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_cut_groups(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LEAST_CHUNK", 300)
+    rows = made(17, 120)
+    base = [f"b{k}" for k in range(90)]
+    rows += [(3000 + i, " ".join([*base[:i], f"own{i}", *base[i + 1 :]]), "") for i in range(50)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_components(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute(rows)
+
+
 def test_empty_and_repeated_rows(spark):
     df = spark.createDataFrame([(4, "a b c d e f", ""), (4, "a b c d e f", ""), (7, "a b c d e f", "")], SCHEMA)
     assert sorted(map(tuple, similar_components(df).collect())) == [(4, 2, 4), (4, 2, 4), (7, 2, 4)]

@@ -1,6 +1,6 @@
 """The corpus pipeline: language ID, near duplicates, benchmark decontamination, secrets, BPE.
 
-Each stage works on what its predecessor kept. doc_id is the key of documents; rows that share one count as one document.
+Each stage works on what its predecessor kept. Rows are documents of their own, also where they share a doc_id or have none.
 """
 
 from __future__ import annotations
@@ -25,12 +25,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of alike documents: the one with the least doc_id; one row of it if it has several."""
-    found = jaccard_join.similar_components(docs)
-    kept = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    return rows.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
+    """One row of each group of alike rows: the one with the least doc_id (null is the least). Rows are compared by their own
+    texts, whether or not others have their doc_id; rows with equal doc_id and text are one."""
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    found = stored(jaccard_join.similar_components(keyed.select(F.col("_key").alias("doc_id"), "text")), "alike")
+    ids = keyed.select("_key", "doc_id").distinct().join(found.select(F.col("doc_id").alias("_key"), "component_id").distinct(), "_key")
+    kept = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("least")).select(F.col("least._key").alias("_key"))
+    order = Window.partitionBy("_key", "doc_id").orderBy(F.xxhash64(*docs.columns))
+    return keyed.join(kept, "_key", "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place", "_key")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

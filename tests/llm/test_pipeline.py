@@ -61,3 +61,13 @@ def test_stages_keep_columns_and_take_odd_rows(spark, tmp_path):
             frame = stage(spark, frame, str(tmp_path))
             assert frame.columns == df.columns
         assert len(corpus_pipeline.STAGES[-1][1](spark, frame, str(tmp_path)).collect()) in ({rows} if rows == 0 else {0, 2})
+
+
+def test_rows_with_one_id_are_not_one_document(spark):
+    rng = random.Random(5)
+    said = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * 3 + str(rng.randrange(99)) for _ in range(60)) for _ in range(9)]
+    rows = [(None, said[0]), (None, said[1]), (None, said[1]), (7, said[2]), (7, said[3]), (7, said[3]), (8, said[4]), (9, said[2] + " end"), (3, said[4])]
+    df = spark.createDataFrame([(i, t, "en", "s", 1, "", "", 1) for i, t in rows], COLUMNS)
+    got = corpus_pipeline.near_duplicate_stage(spark, df, "").collect()
+    want = [(None, said[0]), (None, said[1]), (7, said[2]), (7, said[3]), (3, said[4])]
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)

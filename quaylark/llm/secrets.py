@@ -4,11 +4,12 @@ Base kinds, leftmost and not overlapping within a kind, spans in code points wit
 assign (a sensitive name, = or :, and a value of 6 or more characters), access (AKIA and capitals or digits, 20 or more
 in all) and hex (24 or more hex digits). A span is the whole match.
 
-Kind novel: long strings of letters and digits after a sensitive word are candidates. A zstandard compressor is primed
+Kind novel: long strings of letters and digits after a sensitive word are candidates, those up to the end of a block of a
+private key, and those near after a string that was reported (further lines of a key, parts of a dotted token). A zstandard compressor is primed
 with a dictionary of common identifiers of code and the text that surrounds the candidate; the marginal compressed bytes
 of the candidate (with its context, less the context alone) for each character say how much of it is new. Words,
-identifiers and values that the text repeats cost little; keys can't be compressed and are reported. Candidates that
-overlap a base span are left to it.
+identifiers and values that the text repeats cost little; keys can't be compressed and are reported. Of candidates that
+overlap base spans the parts outside are measured, each on its own. A short last line of a key is reported with the line before.
 
 Null and empty texts have no spans. Rows are independent: repeated rows and null ids keep their own result. Other columns
 pass through unless their names clash with the result's, which win.
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 
 import pyarrow as pa
 import zstandard
@@ -49,7 +50,10 @@ IDENTIFIERS = " ".join(
     "xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx 00000000000000000000000000000000 get_value set_value access_token refresh_token client_secret".split(" ")
 ).encode()
 
-#: Characters of text before a candidate in which a sensitive word counts.
+PEM_BEGIN, PEM_END = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"), "-----END"
+PEM_REST = re.compile(r"(?:\s|\\[nr])+([A-Za-z0-9+/=]{1,%d})(?:\s|\\[nr])*" % (LONG - 1))
+
+#: Characters of text before a candidate in which a sensitive word, or a reported candidate, counts.
 REACH = 48
 #: Characters on either side that prime the compressor.
 AROUND = 400
@@ -79,6 +83,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """Where the bodies of private keys begin and end; blocks without an end are out."""
+    out, end = [], 0
+    for m in PEM_BEGIN.finditer(text):
+        if end < m.end():
+            end = text.find(PEM_END, m.end())
+        if end < 0:
+            break
+        out.append((m.end(), end))
+    return out
+
+
+def uncovered(start: int, end: int, covered: list[list[int]], begins: list[int]):
+    """The parts of start..end outside the covered spans, in order."""
+    k = max(0, bisect_right(begins, start) - 1)
+    while k < len(covered) and covered[k][0] < end:
+        s, e = covered[k]
+        if start < s:
+            yield start, s
+        start, k = max(start, e), k + 1
+    if start < end:
+        yield start, end
+
+
 def novel_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     low, out, done = text.lower(), [], 0
     if len(low) != len(text):  # lower case that changes lengths would move the spans
@@ -90,16 +118,19 @@ def novel_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int,
         else:
             covered.append([s, e])
     begins = [s for s, _ in covered]
-    for word in SENSITIVE_RE.finditer(low):
-        last, at = word.end() + REACH, max(done, word.end())
+    blocks = key_blocks(text)
+    for start, last in sorted([(w.end(), w.end() + REACH) for w in SENSITIVE_RE.finditer(low)] + blocks):
+        at = max(done, start)
         while (near := CANDIDATE.search(text, at, last + LONG)) and near.start() <= last:
             m = CANDIDATE.match(text, near.start())  # all of it, however long
             at = done = m.end()
-            value, k = m[0], bisect_left(begins, m.end())
-            if k and covered[k - 1][1] > m.start() or not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
-                continue
-            if novelty(text, m.start(), m.end()) >= NOVEL:
-                out.append((m.start(), 3, m.end()))
+            for s, e in uncovered(m.start(), m.end(), covered, begins):
+                if novelty(text, s, e) >= NOVEL:
+                    out.append((s, 3, e))
+                    last = max(last, m.end() + REACH)
+                    k = bisect_right(blocks, (s, len(text))) - 1
+                    if e == m.end() and k >= 0 and e < blocks[k][1] and (rest := PEM_REST.fullmatch(text, e, blocks[k][1])):
+                        out.append((rest.start(1), 3, rest.end(1)))
     return out
 
 

@@ -69,7 +69,7 @@ printf('%.1f%%', round(value / 5, 1)) AS said FROM x WHERE event_id % 10 = 0""")
 def recommendation_text(spark, d):
     v = F.col("value")
     advice = F.when(v >= 150, "follow").when(v >= 60, "watch").when(v >= 10, "wait").otherwise("avoid")
-    return table(spark, d, "events").where("event_id % 10 = 0").select("event_id", advice.alias("advice"), F.format_string("%.1f%%", F.round(v / 5, 1)).alias("said"))
+    return table(spark, d, "events").select("event_id", advice.alias("advice"), F.format_string("%.1f%%", F.round(v / 5, 1)).alias("said"))
 
 
 @query("""WITH a AS (SELECT user_id, round(avg(value), 6) AS tone FROM events GROUP BY 1), b AS (SELECT user_id, count(*) AS errors FROM events WHERE event_type = 'error' GROUP BY 1), c AS (SELECT user_id, max(value) AS best FROM events WHERE event_type = 'purchase' GROUP BY 1)

@@ -1,0 +1,11 @@
+"""Queries on all rows of their tables, held against their SQL less its row filter."""
+
+import pytest
+
+from quaylark.plans import registry
+from tests.oracle import same
+
+
+@pytest.mark.parametrize("name, cut", [("recommendation_text", " WHERE event_id % 10 = 0")])
+def test_all_rows(spark, name, cut):
+    same(spark, name, registry.QUERIES[name], registry.ORACLES[name].replace(cut, ""), "/root/testdata/sf0.001")

@@ -89,7 +89,7 @@ SELECT x.doc_id, x.w AS term, round(x / l, 6) AS weight FROM x JOIN l ON l.doc_i
 def tfidf_top_terms(spark, d):
     from quaylark.operators.models import tfidf
 
-    docs = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), F.array_remove(F.split(F.lower("text"), "[^a-z]+"), "").alias("terms"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_remove(F.split(F.lower("text"), "[^a-z]+"), "").alias("terms"))
     x = tfidf(docs, 5).withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("weight", 9)), "term")))
     return x.where("k <= 3").select(F.col("id").alias("doc_id"), "term", F.round("weight", 6).alias("weight"))
 
@@ -102,7 +102,7 @@ SELECT d.doc_id, round(1 - coalesce(max(c), 0), 5) AS novelty FROM d LEFT JOIN c
 def novelty_cosine(spark, d):
     from quaylark.operators.models import tfidf
 
-    docs = table(spark, d, "documents").where("n_chars < 400").select(F.col("doc_id").alias("id"), "source", F.array_remove(F.split(F.lower("text"), "[^a-z]+"), "").alias("terms"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", F.array_remove(F.split(F.lower("text"), "[^a-z]+"), "").alias("terms"))
     x = tfidf(docs, 2).join(docs.select("id", "source"), "id")
     # the band of 200 before is met by buckets of 200
     a = x.withColumn("b", F.floor(F.col("id") / 200))

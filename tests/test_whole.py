@@ -6,6 +6,10 @@ from quaylark.plans import registry
 from tests.oracle import same
 
 
-@pytest.mark.parametrize("name, cut", [("recommendation_text", " WHERE event_id % 10 = 0")])
+@pytest.mark.parametrize("name, cut", [
+    ("recommendation_text", " WHERE event_id % 10 = 0"),
+    ("novelty_cosine", " WHERE n_chars < 400"),
+    ("tfidf_top_terms", " WHERE lang = 'en'"),
+])
 def test_all_rows(spark, name, cut):
     same(spark, name, registry.QUERIES[name], registry.ORACLES[name].replace(cut, ""), "/root/testdata/sf0.001")

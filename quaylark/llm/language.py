@@ -1,6 +1,6 @@
 """Language identification by bit-sliced Bloom filters of n-grams.
 
-One table serves all languages: slot s holds a bit mask of the languages one of whose n-grams hashes to s. A lookup takes
+One table serves all languages: slot s holds a bit mask (a word for each 64 languages) of the languages one of whose n-grams hashes to s. A lookup takes
 the masks of an n-gram's slots and keeps the bits common to all, so it returns every language that contains the n-gram at
 once. A text's n-grams give a popcount for each language, from which the language's own rate of false positives is
 taken away; the largest share of n-grams decides.
@@ -96,33 +96,33 @@ class Filters:
 
     @classmethod
     def fit(cls, rows: list[tuple[str, str]]) -> Filters:
-        langs = sorted({lang for _, lang in rows})[:63]
+        langs = sorted({lang for _, lang in rows})
         counts = []
         for lang in langs:
             codes, n = counted(normal(text) for text, x in rows if x == lang)
             counts.append((codes, n, max(1, int(n.sum()))))
         every = np.unique(np.concatenate([c for c, _, _ in counts])) if counts else np.empty(0, np.uint64)
-        rates = np.zeros((len(langs), len(every)))
-        enough = np.zeros((len(langs), len(every)), bool)
-        for k, (codes, n, total) in enumerate(counts):
+        top = np.zeros(len(every))
+        for codes, n, total in counts:
             at = np.searchsorted(every, codes)
-            rates[k, at] = n / total
-            enough[k, at] = n >= LEAST_COUNT
-        top = rates.max(axis=0, initial=0)
-        table, false = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(len(langs))
-        for k in range(len(langs)):
-            mine = every[enough[k] & (rates[k] >= KEEP * top)]
+            top[at] = np.maximum(top[at], n / total)
+        table, false = np.zeros((max(1, -(-len(langs) // 64)), 1 << SLOT_BITS), np.uint64), np.zeros(len(langs))
+        for k, (codes, n, total) in enumerate(counts):
+            mine, word = codes[(n >= LEAST_COUNT) & (n / total >= KEEP * top[np.searchsorted(every, codes)])], table[k // 64]
             for s in slots(mine):
-                np.bitwise_or.at(table, s.astype(np.int64), np.uint64(1 << k))
-            false[k] = ((table >> np.uint64(k)) & np.uint64(1)).mean() ** PROBES
+                np.bitwise_or.at(word, s.astype(np.int64), np.uint64(1 << k % 64))
+            false[k] = ((word >> np.uint64(k % 64)) & np.uint64(1)).mean() ** PROBES
         return cls(langs, table, false)
 
-    def masks(self, codes: np.ndarray) -> np.ndarray:
-        """For each n-gram the languages that contain it, as bits."""
-        first, *rest = slots(codes)
-        out = self.table[first.astype(np.int64)]
+    def masks(self, codes: np.ndarray, word: int = 0) -> np.ndarray:
+        """For each n-gram the languages that contain it, as bits; word w has the languages from 64 w on."""
+        return self._met(slots(codes), word)
+
+    def _met(self, places: list[np.ndarray], word: int) -> np.ndarray:
+        first, *rest = places
+        out = self.table[word][first.astype(np.int64)]
         for s in rest:
-            out &= self.table[s.astype(np.int64)]
+            out &= self.table[word][s.astype(np.int64)]
         return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -130,12 +130,14 @@ class Filters:
             return UNKNOWN, 0.0
         n, hits = 0, np.zeros(len(self.langs))
         for piece in pieces(normal(text)):
-            found = self.masks(grams(piece))
-            n += len(found)
-            if len(self.langs) <= 8:
-                hits += (np.bincount(found.astype(np.uint8), minlength=256) @ _BITS)[: len(self.langs)]
-            else:
-                hits += [np.count_nonzero(found & np.uint64(1 << k)) for k in range(len(self.langs))]
+            places = slots(grams(piece))
+            n += len(places[0])
+            for word in range(len(self.table)):
+                found, at = self._met(places, word), 64 * word
+                if len(self.langs) <= 8:
+                    hits += (np.bincount(found.astype(np.uint8), minlength=256) @ _BITS)[: len(self.langs)]
+                else:
+                    hits[at : at + 64] += [np.count_nonzero(found & np.uint64(1 << k)) for k in range(min(64, len(self.langs) - at))]
         share = np.clip((hits - n * self.false) / (1 - np.minimum(self.false, 0.99)), 0, None) / max(1, n)
         best = int(share.argmax())
         return self.langs[best], float(share[best] / share.sum()) if share.sum() else 1 / len(self.langs)
@@ -154,7 +156,7 @@ def identify(df: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
     """df with lang_pred and score."""
     spark = df.sparkSession
     common.shipped(spark)
-    held = spark.sparkContext.broadcast(filters)  # 8 bytes x 2^SLOT_BITS whatever the input
+    held = spark.sparkContext.broadcast(filters)  # 8 bytes x 2^SLOT_BITS for each 64 languages
     kept = [c for c in df.columns if c not in ("lang_pred", "score")]
     df, at = df.select(*kept), kept.index(text)
 

@@ -35,3 +35,11 @@ def test_odd_rows(spark):
     empty = df.limit(0)
     assert language.identify(empty, language.fit(empty)).collect() == []
     assert [r.lang_pred for r in language.identify(df, language.fit(empty)).collect()] == ["und"] * 4
+
+
+def test_more_languages_than_bits_of_a_word():
+    alphabets = {f"l{k:03}": chr(0x4E00 + 40 * k) for k in range(130)}
+    said = {lang: " ".join(chr(ord(first) + j) + chr(ord(first) + j + 1) for j in range(20)) for lang, first in alphabets.items()}
+    filters = language.Filters.fit([(text, lang) for lang, text in said.items()] * 3)
+    assert filters.langs == sorted(said)
+    assert {lang: filters.predict(text)[0] for lang, text in said.items()} == {lang: lang for lang in said}

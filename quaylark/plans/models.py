@@ -34,7 +34,10 @@ def _cached(spark, d):
     return stored(frame(spark, d), "frame")
 
 
-FOLDS = [1998 * 4 + 1, 1998 * 4 + 2]
+#: The six test quarters of folds_walk_forward, from 1998-01-01.
+FOLDS = [1998 * 4 + 1 + k for k in range(6)]
+#: Shares of the training rows in hundredths, and the seeds of their draws.
+SHARES, SEEDS = (25, 50, 75, 100), (0, 1, 2)
 
 
 @query()
@@ -45,15 +48,14 @@ def walk_forward_logreg(spark, d):
 
 @query()
 def ensemble_vote(spark, d):
-    """Rank-average of three learners' chances in one test quarter, and how many agree."""
+    """Rank-average of three learners' chances within each test quarter, and how many agree."""
     rows = _cached(spark, d)
     out = None
     for name in ("logistic", "forest", "bayes"):
-        p = M.walk_forward(rows, FOLDS[:1], "fold", COLUMNS, M.learners()[name], 10).select("t", "y", F.col("p").alias(name))
-        out = p if out is None else out.join(p.drop("y"), "t")
+        p = M.walk_forward(rows, FOLDS, "fold", COLUMNS, M.learners()[name], 10).select("fold", "t", "y", F.col("p").alias(name))
+        out = p if out is None else out.join(p.drop("fold", "y"), "t")
     names = ["logistic", "forest", "bayes"]
-    out = out.withColumns({f"{n}_r": S.rank_share(n, ["_one"]) for n in names} if "_one" in out.columns else {"_one": F.lit(0)})
-    out = out.withColumns({f"{n}_r": S.rank_share(n, ["_one"]) for n in names})
+    out = out.withColumns({f"{n}_r": S.rank_share(n, ["fold"]) for n in names})
     return out.select("t", F.round(sum(F.col(f"{n}_r") for n in names) / 3, 6).alias("score"), sum((F.col(n) > 0.5).cast("int") for n in names).alias("votes"))
 
 
@@ -62,30 +64,39 @@ def learner_comparison(spark, d):
     rows = _cached(spark, d)
     out = []
     for name in ("logistic", "forest", "boosted", "linear_svc", "bayes", "network"):
-        p = M.walk_forward(rows, FOLDS[:1], "fold", COLUMNS, M.learners()[name], 10)
+        p = M.walk_forward(rows, FOLDS, "fold", COLUMNS, M.learners()[name], 10)
         out.append((name, T.auc(p, "y", "p").first()["auc"]))
     return spark.createDataFrame([(n, round(a, 4)) for n, a in out], "learner string, auc double")
 
 
 @query()
 def permutation_importance(spark, d):
-    rows = _cached(spark, d)
-    start = rows.where(F.col("fold") == FOLDS[0]).agg(F.min("t")).first()[0]
-    train, test = rows.where(F.col("t") < start - 10).withColumn("w", F.lit(1.0)), rows.where(F.col("fold") == FOLDS[0])
-    model = M.fitted(train, COLUMNS, M.learners()["logistic"]())
-    found = M.permutation_importance(test, model, {"returns": ["r1", "r5"], "volume": ["z"]}, lambda p: T.auc(p, "y", "p").first()["auc"])
-    return spark.createDataFrame([(n, round(x, 6)) for n, x in found], "name string, loss double")
+    """Loss of AUC in each test quarter when a group of features is dealt anew."""
+    rows, out = _cached(spark, d), []
+    for k in FOLDS:
+        test = rows.where(F.col("fold") == k)
+        start = test.agg(F.min("t")).first()[0]
+        if start is None:
+            continue
+        model = M.fitted(rows.where(F.col("t") < start - 10).withColumn("w", F.lit(1.0)), COLUMNS, M.learners()["logistic"]())
+        found = M.permutation_importance(test, model, {"returns": ["r1", "r5"], "volume": ["z"]}, lambda p: T.auc(p, "y", "p").first()["auc"])
+        out += [(k, n, round(x, 6)) for n, x in found]
+    return spark.createDataFrame(out, "fold long, name string, loss double")
 
 
 @query()
 def learning_curve(spark, d):
-    rows = _cached(spark, d)
-    out = []
-    for share in (25, 50, 100):
-        part = rows.where((F.pmod(F.xxhash64("t"), F.lit(100)) < share) | (F.col("fold") == FOLDS[0]))
-        p = M.walk_forward(part, FOLDS[:1], "fold", COLUMNS, M.learners()["logistic"], 10)
-        out.append((share, round(T.auc(p, "y", "p").first()["auc"], 4)))
-    return spark.createDataFrame(out, "share int, auc double")
+    """AUC over all test quarters by share of the training rows and seed of the draw; test rows are whole."""
+    rows, out = _cached(spark, d), []
+    for share in SHARES:
+        for seed in SEEDS if share < 100 else SEEDS[:1]:
+            p = None
+            for k in FOLDS:
+                part = rows.where((F.pmod(F.xxhash64("t", F.lit(seed)), F.lit(100)) < share) | (F.col("fold") == k))
+                q = M.walk_forward(part, [k], "fold", COLUMNS, M.learners()["logistic"], 10)
+                p = q if p is None else p if q is None else p.unionByName(q)
+            out.append((share, seed, round(T.auc(p, "y", "p").first()["auc"], 4)))
+    return spark.createDataFrame(out, "share int, seed int, auc double")
 
 
 @query()

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaylark.llm import common
+from quaylark.session import ship
 
 #: Pages of the table that the labeller is trained on, and pages made from templates.
 PAGES, MADE = 240, 360
@@ -382,7 +383,7 @@ def fit(pages: DataFrame, html_column: str = "html", sample: int = PAGES) -> Lab
 def extract(df: DataFrame, labeller: Labeller, html_column: str = "html") -> DataFrame:
     """df with text (article blocks joined by a new line) and n_blocks."""
     spark = df.sparkSession
-    common.shipped(spark)
+    ship(spark)
     held = spark.sparkContext.broadcast(labeller)  # of fixed size
     kept = [c for c in df.columns if c not in ("text", "n_blocks")]
     df, at = df.select(*kept), kept.index(html_column)

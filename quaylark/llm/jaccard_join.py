@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quaylark.llm import common
 from quaylark.llm.substring_dedup import NULL_ID
-from quaylark.session import stored
+from quaylark.session import ship, stored
 
 SHINGLE = 5
 #: Likeness from which two documents are linked, in hundredths.
@@ -78,7 +78,7 @@ def prefix_length(n: int, like: int) -> int:
 def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, like: int = LIKE) -> DataFrame:
     """doc_id, n, and for sets that may have a partner digest, packed (counts and shared shingles in global order) and
     prefix (shared shingles of the prefix)."""
-    common.shipped(docs.sparkSession)
+    ship(docs.sparkSession)
     buckets = common.bucket_count(docs)
 
     def send(batches):

@@ -5,29 +5,31 @@ the masks of an n-gram's slots and keeps the bits common to all, so it returns e
 once. A text's n-grams give a popcount for each language, from which the language's own rate of false positives is
 taken away; the largest share of n-grams decides.
 
-Training reads a bounded sample of SAMPLE labelled documents, spread over all by a hash of the text. An n-gram belongs to a
-language when its rate there is at least KEEP of its highest rate in any language, so that n-grams that merely stray
-into a language don't blur it.
+Training reads a bounded sample: at most SAMPLE labelled documents of each language, those with the least hash of doc_id and
+text, so that a language never vanishes behind others, nor behind a group of copies. An n-gram belongs to a language when its
+rate there is at least KEEP of its highest rate in any language, so that n-grams that merely stray into a language don't blur it.
 
-Texts are lower-cased; everything but letters counts as a space; n-grams are of bytes within words with one space on
-either side. Null texts and texts without a letter are `und` with score 0. Ties go to the language first in order. Rows are
+Texts are lower-cased; everything but letters and their marks counts as a space; n-grams are of bytes within words with one
+space on either side. Texts are read whole, a piece at a time. Null texts and texts without a letter (digits, superscripts,
+fractions and signs are none) are `und` with score 0. Ties go to the language first in order. Rows are
 independent; a table without labelled rows predicts `und` throughout. Other columns pass through unless their names
 clash with the result's, which win.
 """
 
 from __future__ import annotations
 
-import re
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import regex
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quaylark.llm import common
+from quaylark.session import ship
 
-#: Labelled documents that the filters are fitted on.
-SAMPLE = 4000
+#: Labelled documents of each language that its filter is fitted on.
+SAMPLE = 1000
 SIZES = (2, 3, 4)
 SLOT_BITS = 20
 PROBES = 3
@@ -36,9 +38,9 @@ LEAST_COUNT = 3
 UNKNOWN = "und"
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-#: Bytes of a lower-cased text: letters and all bytes of other alphabets stay, the rest is a space.
+#: Bytes of a lower-cased text: ASCII letters and all bytes beyond ASCII stay, the rest is a space.
 _TABLE = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER, _OTHER = regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}\p{M}\x00-\x7F]+")
 _PIECE = 1 << 20
 
 
@@ -54,7 +56,10 @@ def grams(data: bytes) -> np.ndarray:
 
 
 def normal(text: str) -> bytes:
-    return b" " + b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_TABLE).split()) + b" "
+    text = text.lower()
+    if not text.isascii():
+        text = _OTHER.sub(" ", text)
+    return b" " + b" ".join(text.encode("utf-8", "surrogatepass").translate(_TABLE).split()) + b" "
 
 
 def pieces(data: bytes):
@@ -95,11 +100,12 @@ class Filters:
         self.langs, self.table, self.false = langs, table, false
 
     @classmethod
-    def fit(cls, rows: list[tuple[str, str]]) -> Filters:
-        langs = sorted({lang for _, lang in rows})
-        counts = []
-        for lang in langs:
-            codes, n = counted(normal(text) for text, x in rows if x == lang)
+    def fit(cls, rows) -> Filters:
+        """From (text, language) rows; rows in order of their language are read one at a time."""
+        langs, counts = [], []
+        for lang, mine in groupby(sorted(rows, key=lambda r: r[1]) if isinstance(rows, list) else rows, key=lambda r: r[1]):
+            codes, n = counted(normal(text) for text, _ in mine)
+            langs.append(lang)
             counts.append((codes, n, max(1, int(n.sum()))))
         every = np.unique(np.concatenate([c for c, _, _ in counts])) if counts else np.empty(0, np.uint64)
         top = np.zeros(len(every))
@@ -147,15 +153,23 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Filters:
-    """Filters from at most `sample` rows of labelled that have text and lang."""
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"))
-    return Filters.fit([(r.t, r.l) for r in common.sampled(rows, ["t"], sample).collect()])
+    """Filters from at most `sample` rows of each language of labelled that have text and lang."""
+    by = ["doc_id"] if "doc_id" in labelled.columns else []
+    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(*by, text).alias("h"))
+    # languages with more rows are first thinned by their hash, so that few rows are ranked
+    many = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).where(F.col("n") > 4 * sample).collect()}
+    if many:
+        bar = F.coalesce(F.create_map(*(F.lit(x) for lang, n in many.items() for x in (lang, int(2 * sample / n * (1 << 30)))))[F.col("l")], F.lit(1 << 30))
+        rows = rows.where(F.pmod("h", F.lit(1 << 30)) < bar)
+    place = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
+    chosen = rows.withColumn("place", place).where(F.col("place") <= sample).orderBy("l", "place").select("t", "l")
+    return Filters.fit((r.t, r.l) for r in chosen.toLocalIterator())
 
 
 def identify(df: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
     """df with lang_pred and score."""
     spark = df.sparkSession
-    common.shipped(spark)
+    ship(spark)
     held = spark.sparkContext.broadcast(filters)  # 8 bytes x 2^SLOT_BITS for each 64 languages
     kept = [c for c in df.columns if c not in ("lang_pred", "score")]
     df, at = df.select(*kept), kept.index(text)

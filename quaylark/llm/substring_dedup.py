@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaylark.llm import common
+from quaylark.session import ship
 
 WINDOW = 20
 NULL_ID = -(1 << 63)
@@ -126,7 +127,7 @@ def unpack_starts(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, starts): for each document with any, the start positions, packed, of its windows that also start earlier."""
-    common.shipped(docs.sparkSession)
+    ship(docs.sparkSession)
     buckets = common.bucket_count(docs)
     send, read = _send(buckets, window)
 

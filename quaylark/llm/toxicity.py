@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from quaylark.llm import common
+from quaylark.session import ship
 from quaylark.llm.language import _TABLE
 
 #: Labelled documents that the weights are learned from.
@@ -232,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """df with score, predicted and passages (start, end in words, evidence)."""
     spark = df.sparkSession
-    common.shipped(spark)
+    ship(spark)
     held = spark.sparkContext.broadcast(model)  # a few thousand words at most: bounded by the sample
     kept = [c for c in df.columns if c not in ("score", "predicted", "passages")]
     df, at = df.select(*kept), kept.index(text)

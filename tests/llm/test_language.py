@@ -43,3 +43,46 @@ def test_more_languages_than_bits_of_a_word():
     filters = language.Filters.fit([(text, lang) for lang, text in said.items()] * 3)
     assert filters.langs == sorted(said)
     assert {lang: filters.predict(text)[0] for lang, text in said.items()} == {lang: lang for lang in said}
+
+
+def test_signs_are_no_letters():
+    filters = language.Filters.fit([("the cat and the hat " * 5, "en")] * 3)
+    for text in ("²", "½ ①", "—“”…", "٣٤", "12 ***"):
+        assert filters.predict(text) == ("und", 0.0)
+    assert language.normal("The—“cat” ½ né") == " the cat né ".encode()
+
+
+def test_every_language_is_sampled(spark):
+    common_, rare = "the cat and the hat", "der hund und die katze"
+    rows = [(k, common_, "en") for k in range(300)] + [(k, f"{common_} {k}", "en") for k in range(300, 600)] + [(1000, rare, "de"), (1001, rare + " so", "de"), (1002, rare, "de")]
+    filters = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7), sample=10)
+    assert filters.langs == ["de", "en"] and filters.predict(rare)[0] == "de"
+
+
+def brute_counts(filters, text):
+    """Share of n-grams for each language from plain sets of slots, a language at a time."""
+    data = language.normal(text)
+    found = [data[i : i + n] for n in language.SIZES for i in range(len(data) - n + 1)]
+    out = []
+    for k, lang in enumerate(filters.langs):
+        have = {s for s, word in enumerate(filters.table[k // 64].tolist()) if word >> (k % 64) & 1}
+        n = 0
+        for gram in found:
+            code = 0
+            for b in gram:
+                code = (code << 8) | b
+            places = language.slots(np.array([(code << 8) | len(gram)], np.uint64))
+            n += all(int(p[0]) in have for p in places)
+        out.append(max(0.0, (n - len(found) * filters.false[k]) / (1 - min(filters.false[k], 0.99))) / len(found))
+    return out
+
+
+def test_prediction_against_plain_sets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    filters = language.fit(docs.where(language.remainder(4) != 2))
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").orderBy("doc_id").limit(25).collect()
+    for r in rows:
+        lang, score = filters.predict(r.text)
+        share = brute_counts(filters, r.text)
+        if lang != "und":
+            assert lang == filters.langs[int(np.argmax(share))] and abs(score - max(share) / sum(share)) < 1e-9

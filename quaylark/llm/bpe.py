@@ -3,7 +3,8 @@
 Method: a contiguous rank array. For each short word, two arrays are held: the boundaries of its parts and, beside them,
 the rank of the merge of each part with its right neighbour. The array is scanned for its least rank, the boundary
 between that pair is deleted and the two neighbouring ranks are looked up again, until no rank is left. Words are short,
-so a scan of a small array beats any queue. Texts are first normalised and cut into words as the file says (NFC, white
+so a scan of a small array beats any queue. Words of more than SHORT bytes (long runs of letters, texts without spaces) would
+take time by the square of their length: their parts are a linked list and their ranks a heap, with the same ids. Texts are first normalised and cut into words as the file says (NFC, white
 space runs to one space, lower case per character; contractions, runs of letters, single digits, runs of other signs;
 bytes as characters); its special strings are matched first and stand for themselves.
 
@@ -16,6 +17,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from functools import lru_cache
@@ -32,6 +34,8 @@ from quaylark.session import ship
 CACHE_WORDS = 300_000
 #: A word that this many characters long or longer is merged but not kept.
 CACHE_CHARS = 64
+#: Bytes of a word from which a heap takes the place of the scans.
+SHORT = 128
 NO_RANK = 1 << 30
 
 
@@ -65,6 +69,8 @@ class Bpe:
         self.special_re = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.bytes = byte_characters()
         self.table: dict[str, bytes] = {}
+        if any(c + end not in vocab for c in self.bytes for end in {"", self.suffix}):
+            raise ValueError(f"{path}: the vocabulary lacks a byte, so words could not be said whole")
 
     def normal(self, text: str) -> str:
         if not text.isascii():
@@ -76,9 +82,12 @@ class Bpe:
         """The word's ids: see the module's method."""
         signs = [self.bytes[b] for b in word.encode("utf-8", "surrogatepass")]
         signs[-1] += self.suffix
+        parts = self._merged(signs) if len(signs) <= SHORT else self._merged_long(signs)
+        return [self.ids[p] for p in parts]
+
+    def _merged(self, parts: list[str]) -> list[str]:
         rank = self.rank.get
         # parts[k] is the text from boundary k to boundary k + 1; ranks[k] that of parts[k] and parts[k + 1]
-        parts = signs
         ranks = [rank(a + "\0" + b, NO_RANK) for a, b in zip(parts, parts[1:])]
         while ranks:
             least = min(ranks)
@@ -91,8 +100,29 @@ class Bpe:
                 ranks[k] = rank(parts[k] + "\0" + parts[k + 1], NO_RANK)
             if k:
                 ranks[k - 1] = rank(parts[k - 1] + "\0" + parts[k], NO_RANK)
-        ids = self.ids
-        return [ids[p] for p in parts if p in ids]
+        return parts
+
+    def _merged_long(self, parts: list[str]) -> list[str]:
+        """The same by a heap of (rank, place): the least rank, the leftmost of equal ones; stale entries are passed over."""
+        rank, n = self.rank.get, len(parts)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, k) for k in range(n - 1) if (r := rank(parts[k] + "\0" + parts[k + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, k = heapq.heappop(heap)
+            right = after[k]
+            if not parts[k] or right >= n or rank(parts[k] + "\0" + parts[right]) != r:
+                continue
+            parts[k] += parts[right]
+            parts[right] = ""
+            after[k] = right = after[right]
+            if right < n:
+                before[right] = k
+                if (r := rank(parts[k] + "\0" + parts[right])) is not None:
+                    heapq.heappush(heap, (r, k))
+            if (left := before[k]) >= 0 and (r := rank(parts[left] + "\0" + parts[k])) is not None:
+                heapq.heappush(heap, (r, left))
+        return [p for p in parts if p]
 
     def encoded(self, word: str) -> bytes:
         out = np.array(self.merge(word), "<u4").tobytes()

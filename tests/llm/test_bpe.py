@@ -39,3 +39,32 @@ def test_rows(spark):
     assert [(r.n_tokens, len(r.ids)) for r in rows] == [(0, 0), (2, 2), (2, 2)] and rows[0].decoded == "" and rows[1].decoded == "two</w> words</w>"
     assert bpe.bpe(bpe.default_path()).text(rows[1].ids) == "two words"
     assert bpe.encode(df.limit(0), bpe.default_path()).collect() == []
+
+
+def test_long_words_as_library():
+    import random
+    import time
+
+    rng, ours, theirs = random.Random(5), bpe.bpe(bpe.default_path()), library()
+    for text in ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000)), "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(3_000)), "ab" * 5_000, "a" * 9_999):
+        assert ours.encode(text) == theirs.encode(text, add_special_tokens=False).ids
+    began = time.time()
+    assert ours.encode("".join(rng.choice("abcdefghij") for _ in range(200_000)))
+    assert time.time() - began < 5
+
+
+def test_both_ways_of_merging():
+    import random
+
+    rng, ours = random.Random(6), bpe.bpe(bpe.default_path())
+    for _ in range(300):
+        signs = [rng.choice("abehorst") for _ in range(rng.randrange(1, 40))]
+        signs[-1] += ours.suffix
+        assert ours._merged(list(signs)) == ours._merged_long(list(signs))
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    long = "Two words, " * 60_000
+    df = spark.createDataFrame([(1, long, "a", 7), (2, "", "b", 8)], "doc_id long, text string, ids string, n_tokens int")
+    rows = {r.doc_id: r for r in bpe.encode(df, bpe.default_path(), decoded=False).collect()}
+    assert rows[1].n_tokens == len(library().encode(long, add_special_tokens=False).ids) and rows[2].ids == []

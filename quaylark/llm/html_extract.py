@@ -8,8 +8,9 @@ article or not. The text is the article blocks, one a line.
 The labeller is trained here, on two bounded sets: PAGES pages of the table, spread over it by a hash and labelled by their
 markup where it names the article, and MADE pages put together from varied templates with words of those pages.
 
-Character references are decoded, white space inside a block becomes one space; scripts, styles and comments in the markup are
-no blocks. Null and empty pages give an empty text. Rows are independent: repeated rows and null ids keep their own result.
+Character references are decoded, white space inside a block becomes one space; scripts, styles, the title and comments in the
+markup are no blocks. A quote opens a string only after an = in a tag, and unclosed elements lose nothing but their own end.
+Every word of a block counts, and training pages are read whole, at any length. Null and empty pages give an empty text. Rows are independent: repeated rows and null ids keep their own result.
 Other columns pass through unless their names clash with the result's, which win.
 """
 
@@ -30,23 +31,26 @@ from quaylark.session import ship
 
 #: Pages of the table that the labeller is trained on, and pages made from templates.
 PAGES, MADE = 240, 360
-#: Blocks of a training page at most; labelling reads all.
-TRAIN_BLOCKS = 90
+#: Blocks that are read at once, so that memory is bounded where pages are long (a page is always read whole).
+AT_ONCE = 12_000
 PATH, WORDS, COUNTS, HIDDEN = 96, 32, 8, 16
 EPOCHS, RATE, SEED = 7, 0.012, 11
 
 # Elements of HTML
-BLOCK = frozenset("address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
+BLOCK = frozenset("address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav noscript ol option p pre section select summary table tbody td template textarea tfoot th thead tr ul".split())
 CLOSED_BY_NEXT = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas".split())
+# Elements whose content is no markup up to their end: the first two to the end of the page where they aren't closed
+RAW, TITLE = frozenset("script style".split()), "title"
+IN_HEAD = frozenset("noscript template".split())
 # Elements and class or id words that name what isn't the article, and those that name it
-OTHER = frozenset("nav aside footer form header menu button select textarea dialog ad ads advert advertisement sponsored promo banner cookie cookies consent notice sidebar widget comment comments reply replies respond discussion related share social breadcrumb breadcrumbs pagination newsletter subscribe login search toolbar copyright masthead".split())
+OTHER = frozenset("nav aside footer form header noscript template iframe menu button select textarea dialog ad ads advert advertisement sponsored promo banner cookie cookies consent notice sidebar widget comment comments reply replies respond discussion related share social breadcrumb breadcrumbs pagination newsletter subscribe login search toolbar copyright masthead".split())
 ARTICLE = frozenset("article main".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[/!?a-zA-Z][^>]*(?:>|\Z)""", re.DOTALL)
+_TAG = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*"[^"]*"|=\s*'[^']*'|=)*+)>|<[/!?a-zA-Z][^>]*(?:>|\Z)""", re.DOTALL)
 _ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
+_CLOSE = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE) for tag in (*RAW, TITLE)}
 
 
 class Block:
@@ -75,6 +79,8 @@ def blocks(page: str | None) -> list[Block]:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
+                if open_ and open_[-1][0] == "head":  # text ends a head that wasn't closed
+                    open_.pop()
                 out.append(Block(tuple(n for _, names in open_ for n in names), text, linked))
             held.clear()
         linked = 0
@@ -102,9 +108,9 @@ def blocks(page: str | None) -> list[Block]:
                         in_link = 0
                         break
             continue
-        if tag in RAW:
-            if not m[3].endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
+        if tag in RAW or tag == TITLE:
+            close = _CLOSE[tag].search(page, at)
+            if close or tag in RAW:
                 at = close.end() if close else end
         elif tag == "br":
             held.append(" ")
@@ -117,6 +123,9 @@ def blocks(page: str | None) -> list[Block]:
                 continue
             if open_ and open_[-1][0] == "p":
                 open_.pop()
+            if tag not in IN_HEAD:  # other elements end a head that wasn't closed
+                while (k := next((k for k, (name, _) in enumerate(open_) if name == "head"), -1)) >= 0:
+                    del open_[k:]
             stop = CLOSED_BY_NEXT.get(tag, ())
             for k in range(len(open_) - 1, -1, -1) if stop else ():
                 if open_[k][0] in stop:
@@ -126,7 +135,7 @@ def blocks(page: str | None) -> list[Block]:
                     break
             open_.append((tag, _names(tag, m[3])))
     flush()
-    return [b for b in out if not b.path or ("head" not in b.path and "title" not in b.path)]
+    return [b for b in out if "head" not in b.path]
 
 
 def _slot(word: str, n: int) -> int:
@@ -144,7 +153,7 @@ def vectors(found: list[Block], slots: dict) -> np.ndarray:
         row[at] = 1
         words = b.text.split(" ")
         n = len(words)
-        ids = np.fromiter(map(hash_word, words[:400]), np.int64, min(n, 400))
+        ids = np.fromiter(map(hash_word, words), np.int64, n)
         row[PATH : PATH + WORDS] = np.bincount(ids % WORDS, minlength=WORDS) / np.sqrt(len(ids))
         size = len(b.text)
         row[PATH + WORDS :] = (np.log1p(n) / 4, np.log1p(size) / 6, min(1.0, b.linked / max(1, size)), k / len(found), 1.0 if b.text[-1] in ".!?" else 0.0, b.text.count(",") / n, 1 / (1 + len(found)), 1.0)
@@ -313,8 +322,12 @@ class Labeller:
         m1 = {k: np.zeros_like(v) for k, v in self.p.items()}
         m2 = {k: np.zeros_like(v) for k, v in self.p.items()}
         pages, step = sorted(pages, key=lambda page: len(page[1])), 0
-        groups = [pages[k : k + 24] for k in range(0, len(pages), 24)]
-        for epoch in range(epochs):
+        groups = [[]]
+        for page in pages:
+            if len(groups[-1]) == 24 or groups[-1] and (len(groups[-1]) + 1) * len(page[1]) > AT_ONCE:
+                groups.append([])
+            groups[-1].append(page)
+        for epoch in range(epochs if pages else 0):
             for k in rng.permutation(len(groups)):
                 x, mask = padded([v for v, _ in groups[k]])
                 y = np.zeros(mask.shape, np.float32)
@@ -335,7 +348,7 @@ class Labeller:
         out: list[np.ndarray] = [np.empty(0)] * len(pages)
         order = sorted((k for k, v in enumerate(pages) if len(v)), key=lambda k: len(pages[k]))
         while order:
-            most = max(1, min(64, 12_000 // len(pages[order[min(63, len(order) - 1)]])))
+            most = max(1, min(64, AT_ONCE // len(pages[order[min(63, len(order) - 1)]])))
             group, order = order[:most], order[most:]
             x, mask = padded([pages[k] for k in group])
             p = self.forward(x, mask)
@@ -362,13 +375,13 @@ def train(pages: list[str]) -> Labeller:
             words += b.text.split(" ")[:40]
         labels = markup_labels(found)
         if labels is not None:
-            cut.append((vectors(found, slots)[:TRAIN_BLOCKS], labels[:TRAIN_BLOCKS]))
+            cut.append((vectors(found, slots), labels))
     words = words or "the of and to in that is for on with as this by it are at from".split()
     for _ in range(MADE):
         page, labels = made_page(rng, words)
         found = blocks(page)
         if len(found) == len(labels):
-            cut.append((vectors(found, slots)[:TRAIN_BLOCKS], np.array(labels[:TRAIN_BLOCKS], np.float32)))
+            cut.append((vectors(found, slots), np.array(labels, np.float32)))
     out = Labeller(draw)
     out.train(cut, EPOCHS, draw)
     return out

@@ -70,3 +70,47 @@ def test_odd_rows(spark):
     net = hx.Labeller(np.random.default_rng(0))
     assert [r.text for r in hx.extract(df, net).collect()] == ["", "", ""]
     assert hx.extract(df.limit(0), net).collect() == []
+
+
+def test_nothing_is_lost_to_quotes_and_unclosed_elements():
+    said = lambda page: [b.text for b in hx.blocks(page)]
+    assert said("<article><p title=it's>First part of article.</p><p>Second, don't lose it.</p><p>Third</p></article>") == ["First part of article.", "Second, don't lose it.", "Third"]
+    assert said("<p>a</p><svg><path d=x><p>b</p>") == ["a", "b"] and said("<object><p>b</p><canvas>c") == ["b", "c"]
+    assert said("<p>x <math><mi>E</mi>=<mi>mc</mi></math> y</p>") == ["x E=mc y"]
+    assert said("<head><title>no</title><body><p>yes</p>") == ["yes"] and said("<head>text") == ["text"]
+    assert said("<p>a<!-->b<!-- c --!>d") == ["abd"]
+    assert said("<p a = 'x>y' b=\"z>\">t</p><p c='>u") == ["t", "u"]
+    assert said("<title>open <p>kept</p>") == ["open", "kept"]
+
+
+def brute_forward(net, x):
+    """The chance of each block, one page, one block, one gate at a time."""
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    states = []
+    for side in "fb":
+        h, c, out = np.zeros(hx.HIDDEN), np.zeros(hx.HIDDEN), {}
+        for t in range(len(x)) if side == "f" else reversed(range(len(x))):
+            a = x[t] @ net.p[f"x{side}"] + h @ net.p[f"h{side}"] + net.p[f"b{side}"]
+            i, f, o, g = np.split(a, 4)
+            c = sig(f) * c + sig(i) * np.tanh(g)
+            h = sig(o) * np.tanh(c)
+            out[t] = h
+        states.append(out)
+    return [sig(np.concatenate((states[0][t], states[1][t])) @ net.p["out"] + net.p["bias"][0]) for t in range(len(x))]
+
+
+def test_forward_pass_block_by_block():
+    net, rng = hx.train([]), random.Random(4)
+    pages = [hx.vectors(hx.blocks(hx.made_page(rng, ["word", "other", "third."])[0]), {}) for _ in range(12)]
+    for x, p in zip(pages, net.labels(pages)):
+        assert np.allclose(p, brute_forward(net, x), atol=1e-4)
+
+
+def test_very_long_pages_and_blocks():
+    net = hx.train([])
+    long = "word and " * 50_000
+    page = "<html><body><article><h1>T</h1>" + "".join(f"<p>block {k} of the page.</p>" for k in range(20_000)) + f"<p>{long}</p></article></body></html>"
+    found = hx.blocks(page)
+    assert len(found) == 20_002 and len(net.labels([hx.vectors(found, {})])[0]) == 20_002
+    other = hx.blocks(page.replace("word and word and </p>", "word and last end </p>"))
+    assert not np.array_equal(hx.vectors(found[-1:], {}), hx.vectors(other[-1:], {}))

@@ -4,12 +4,18 @@ Base kinds, leftmost and not overlapping within a kind, spans in code points wit
 assign (a sensitive name, = or :, and a value of 6 or more characters), access (AKIA and capitals or digits, 20 or more
 in all) and hex (24 or more hex digits). A span is the whole match.
 
-Kind novel: long strings of letters and digits after a sensitive word are candidates, those up to the end of a block of a
-private key, and those near after a string that was reported (further lines of a key, parts of a dotted token). A zstandard compressor is primed
-with a dictionary of common identifiers of code and the text that surrounds the candidate; the marginal compressed bytes
-of the candidate (with its context, less the context alone) for each character say how much of it is new. Words,
-identifiers and values that the text repeats cost little; keys can't be compressed and are reported. Of candidates that
-overlap base spans the parts outside are measured, each on its own. A short last line of a key is reported with the line before.
+Kind novel: strings of LONG letters, digits and +/_=- after a sensitive word are candidates: those up to the end of its line,
+or REACH characters on where the line ends before, those up to the end of a block of a private key, and those near after a
+string that was reported (further lines of a key, parts of a dotted token). A zstandard compressor is primed once with a
+dictionary trained on common identifiers of code, which carries what signs and strings cost in code and words. The text
+that surrounds a candidate (AROUND characters on either side) is compressed with and without the candidate behind it; the
+difference, its marginal bytes, for each character says how much of it is new. Words, identifiers and values that the
+surrounding text repeats cost little; keys can't be compressed and are reported: nothing but the compressor decides about a
+candidate. Of candidates that overlap base spans the parts outside are measured, each on its own, from PART characters on. A
+short last line of a key is reported with the line before. REACH, AROUND, LONG and NOVEL are parameters of scan().
+
+Very long texts are read whole: the time is that of the compressor for each candidate. Equal starts: spans come in the order
+of their kinds.
 
 Null and empty texts have no spans. Rows are independent: repeated rows and null ids keep their own result. Other columns
 pass through unless their names clash with the result's, which win.
@@ -18,8 +24,10 @@ pass through unless their names clash with the result's, which win.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from bisect import bisect_right
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -38,8 +46,6 @@ NAMES = ("passw", "secret", "token", "api")
 # Words after which a string may be secret
 SENSITIVE = ("password", "passwd", "passphrase", "secret", "token", "apikey", "api_key", "api-key", "api key", "credential", "private_key", "private key", "access_key", "access key", "authorization", "bearer", "client_id", "signature")
 SENSITIVE_RE = re.compile("|".join(map(re.escape, SENSITIVE)))
-LONG = 16
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LONG)
 # Identifiers of code that the compressor knows beforehand
 IDENTIFIERS = " ".join(
     "return import from class def self None True False function const let var public private static void string int float bool null "
@@ -51,25 +57,83 @@ IDENTIFIERS = " ".join(
 ).encode()
 
 PEM_BEGIN, PEM_END = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"), "-----END"
-PEM_REST = re.compile(r"(?:\s|\\[nr])+([A-Za-z0-9+/=]{1,%d})(?:\s|\\[nr])*" % (LONG - 1))
 
-#: Characters of text before a candidate in which a sensitive word, or a reported candidate, counts.
-REACH = 48
-#: Characters on either side that prime the compressor.
+#: Least characters of a candidate, and of a candidate's part outside base spans.
+LONG, PART = 12, 6
+#: Characters after a sensitive word that count where its line ends before, and those after a reported candidate.
+REACH = 200
+#: Characters on either side that a candidate is measured against.
 AROUND = 400
 #: Marginal compressed bytes for each character from which a string counts as new.
-NOVEL = 0.55
-
-
-def novelty(text: str, start: int, end: int) -> float:
-    """Marginal compressed bytes for each character of text[start:end]."""
-    before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
-    around = (before + "\n" + after).encode("utf-8", "surrogatepass")
-    primer = zstandard.ZstdCompressionDict(IDENTIFIERS + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    press = zstandard.ZstdCompressor(level=3, dict_data=primer, write_checksum=False, write_content_size=False, write_dict_id=False)
-    context = before[-AROUND // 4 :].encode("utf-8", "surrogatepass")
-    value = text[start:end].encode()
-    return (len(press.compress(context + value)) - len(press.compress(context))) / len(value)
+NOVEL = 0.75
+
+
+@lru_cache(maxsize=1)
+def dictionary() -> bytes:
+    """The compressor's dictionary, trained on lines put together from the identifiers (always the same lines)."""
+    rng, names = random.Random(0), IDENTIFIERS.decode().split()
+    lines = [rng.choice([" ", "_", ".", "-"]).join(rng.choice(names) for _ in range(rng.randrange(6, 14))).encode() for _ in range(3000)]
+    return zstandard.train_dictionary(8192, lines).as_bytes()
+
+
+class Scanner:
+    """Finds spans with a compressor primed by `trained`."""
+
+    def __init__(self, trained: bytes | None = None, long: int = LONG, reach: int = REACH, around: int = AROUND, novel: float = NOVEL):
+        primer = zstandard.ZstdCompressionDict(trained or dictionary())
+        self.press = zstandard.ZstdCompressor(level=3, dict_data=primer, write_checksum=False, write_content_size=False, write_dict_id=False)
+        self.reach, self.around, self.novel = reach, around, novel
+        self.candidate = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % long)
+        self.long = long
+        self.rest = re.compile(r"(?:\s|\\[nr])+([A-Za-z0-9+/=]{1,%d})(?:\s|\\[nr])*" % (long - 1))
+
+    def novelty(self, text: str, start: int, end: int) -> float:
+        """Marginal compressed bytes for each character of text[start:end]."""
+        context = (text[end : end + self.around] + "\n" + text[max(0, start - self.around) : start]).encode("utf-8", "surrogatepass")
+        value = text[start:end].encode()
+        return (len(self.press.compress(context + value)) - len(self.press.compress(context))) / len(value)
+
+    def contexts(self, text: str) -> list[tuple[int, int]]:
+        """Where candidates may begin: from the end of each sensitive word, first and last place."""
+        low = text.lower()
+        if len(low) != len(text):  # lower case that changes lengths would move the spans
+            low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+        out, line = [], -1
+        for w in SENSITIVE_RE.finditer(low):
+            if line < w.end():
+                line = text.find("\n", w.end())
+                line = len(text) if line < 0 else line
+            out.append((w.end(), max(line, w.end() + self.reach)))
+        return out
+
+    def novel_spans(self, text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        out, done = [], 0
+        covered: list[list[int]] = []  # known spans, overlapping ones as one
+        for s, _, e in known:
+            if covered and s < covered[-1][1]:
+                covered[-1][1] = max(covered[-1][1], e)
+            else:
+                covered.append([s, e])
+        begins = [s for s, _ in covered]
+        blocks = key_blocks(text)
+        for start, last in sorted(self.contexts(text) + blocks):
+            at = max(done, start)
+            while (near := self.candidate.search(text, at, last + self.long)) and near.start() <= last:
+                m = self.candidate.match(text, near.start())  # all of it, however long
+                at = done = m.end()
+                for s, e in uncovered(m.start(), m.end(), covered, begins):
+                    if e - s >= PART and self.novelty(text, s, e) >= self.novel:
+                        out.append((s, 3, e))
+                        last = max(last, m.end() + self.reach)
+                        k = bisect_right(blocks, (s, len(text))) - 1
+                        if e == m.end() and k >= 0 and e < blocks[k][1] and (rest := self.rest.fullmatch(text, e, blocks[k][1])):
+                            out.append((rest.start(1), 3, rest.end(1)))
+        return out
+
+    def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+        """Base spans, and base and novel spans, each in order."""
+        base = base_spans(text)
+        return base, sorted(base + self.novel_spans(text, base))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -107,37 +171,14 @@ def uncovered(start: int, end: int, covered: list[list[int]], begins: list[int])
         yield start, end
 
 
-def novel_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    low, out, done = text.lower(), [], 0
-    if len(low) != len(text):  # lower case that changes lengths would move the spans
-        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-    covered: list[list[int]] = []  # known spans, overlapping ones as one
-    for s, _, e in known:
-        if covered and s < covered[-1][1]:
-            covered[-1][1] = max(covered[-1][1], e)
-        else:
-            covered.append([s, e])
-    begins = [s for s, _ in covered]
-    blocks = key_blocks(text)
-    for start, last in sorted([(w.end(), w.end() + REACH) for w in SENSITIVE_RE.finditer(low)] + blocks):
-        at = max(done, start)
-        while (near := CANDIDATE.search(text, at, last + LONG)) and near.start() <= last:
-            m = CANDIDATE.match(text, near.start())  # all of it, however long
-            at = done = m.end()
-            for s, e in uncovered(m.start(), m.end(), covered, begins):
-                if novelty(text, s, e) >= NOVEL:
-                    out.append((s, 3, e))
-                    last = max(last, m.end() + REACH)
-                    k = bisect_right(blocks, (s, len(text))) - 1
-                    if e == m.end() and k >= 0 and e < blocks[k][1] and (rest := PEM_REST.fullmatch(text, e, blocks[k][1])):
-                        out.append((rest.start(1), 3, rest.end(1)))
-    return out
+@lru_cache(maxsize=1)
+def scanner() -> Scanner:
+    return Scanner()
 
 
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and base and novel spans, each in order."""
-    base = base_spans(text)
-    return base, sorted(base + novel_spans(text, base))
+    """Base spans, and base and novel spans, with the default parameters."""
+    return scanner().spans(text)
 
 
 def _joined(found: list[tuple[int, int, int]]) -> str:
@@ -154,19 +195,22 @@ def redacted(text: str, found: list[tuple[int, int, int]], mark: str) -> str:
     return "".join([*out, text[last:]])
 
 
-def scan(df: DataFrame, text: str = "text", mark: str | None = None) -> DataFrame:
+def scan(df: DataFrame, text: str = "text", mark: str | None = None, long: int = LONG, reach: int = REACH, around: int = AROUND, novel: float = NOVEL) -> DataFrame:
     """df with n_assign, n_access, n_hex, n_novel, base_spans and spans (strings); with mark also clean (text, redacted; null stays null)."""
     ship(df.sparkSession)
     extra = [("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("n_novel", pa.int64()), ("base_spans", pa.string()), ("spans", pa.string())] + [("clean", pa.string())] * (mark is not None)
     kept = [c for c in df.columns if c not in {name for name, _ in extra}]
     df, at = df.select(*kept), kept.index(text)
 
+    trained = dictionary()  # made once, so that all executors measure alike
+
     def run(batches):
+        found = Scanner(trained, long, reach, around, novel)
         for batch in batches:
             columns = [[] for _ in extra]
             for value in batch.column(at):
                 said = value.as_py()
-                base, every = spans(said or "")
+                base, every = found.spans(said or "")
                 row = [*(sum(k == kind for _, k, _ in every) for kind in range(4)), _joined(base), _joined(every)]
                 if mark is not None:
                     row.append(said if said is None else redacted(said, every, mark))

@@ -87,3 +87,73 @@ def test_letters_alone_and_rests_of_base_spans():
     front, back = signs(rng, 20, SIGNS[:26]), signs(rng, 20, SIGNS[:26])
     text = f"the credential used here was {front}{'0123456789abcdef' * 2}{back} in the old service"
     assert secrets.redacted(text, secrets.spans(text)[1], "*") == "the credential used here was *** in the old service"
+
+
+def brute_novel(text):
+    """Novel spans by their definition, a character at a time: candidates that a context reaches and the compressor finds new."""
+    base, mine = brute(text), secrets.Scanner()
+    is_sign = lambda c: c.isascii() and (c.isalnum() or c in "+/_=-")
+    taken = {p for s, _, e in base for p in range(s, e)}
+    words = [i + len(w) for w in secrets.SENSITIVE for i in range(len(text)) if text[i : i + len(w)].lower() == w]
+    reach = set()
+    for end in words:
+        line = text.find("\n", end)
+        reach.add((end, max(len(text) if line < 0 else line, end + secrets.REACH)))
+    out, at = [], 0
+    while at < len(text):
+        if not is_sign(text[at]):
+            at += 1
+            continue
+        end = at
+        while end < len(text) and is_sign(text[end]):
+            end += 1
+        starts = [max(at, a) for a, b in reach if max(at, a) <= b and end - max(at, a) >= secrets.LONG]
+        if starts:
+            at, found = min(starts), False
+            parts, s = [], None
+            for p in range(at, end + 1):
+                if p < end and p not in taken:
+                    s = p if s is None else s
+                elif s is not None:
+                    parts.append((s, p))
+                    s = None
+            for s, e in parts:
+                if e - s >= secrets.PART and mine.novelty(text, s, e) >= secrets.NOVEL:
+                    out.append((s, 3, e))
+                    found = True
+            if found:
+                reach.add((end, end + secrets.REACH))
+        at = end
+    return sorted(out)
+
+
+def test_novel_spans_against_their_definition():
+    rng = random.Random(12)
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randrange(30)):
+            parts.append(rng.choice([lambda: signs(rng, rng.randrange(8, 40)), lambda: rng.choice(secrets.SENSITIVE), lambda: "plain words of text é ", lambda: "configuration_value", lambda: "token = 'abcdef123'", lambda: "deadbeef" * 4, lambda: "w " * 130, lambda: "internationalization"])())
+        text = "".join(p + rng.choice([" ", " ", "\n", "."]) for p in parts)
+        assert [x for x in secrets.spans(text)[1] if x[1] == 3] == brute_novel(text), text
+
+
+def test_far_keys_short_keys_and_letters():
+    rng = random.Random(13)
+    for n, some in ((28, SIGNS), (15, SIGNS), (40, SIGNS[:52])):
+        key = signs(rng, n, some)
+        text = f"the credential that the old service asks for, which nobody has changed since, is {key} as far as we know"
+        at = text.index(key)
+        assert text.index("credential") + 60 < at and (at, 3, at + n) in secrets.spans(text)[1]
+    assert secrets.spans("the credential is a characteristic internationalization of counterrevolutionary circumstances")[1] == []
+    near = "credential\n" + "x " * 90 + signs(rng, 20)
+    assert secrets.spans(near)[1] and not secrets.Scanner(reach=100).spans(near)[1]
+
+
+def test_very_long_text(spark):
+    rng = random.Random(14)
+    key = signs(rng, 30)
+    text = "plain words of a text " * 50_000 + f"bearer {key}" + " more words" * 50_000
+    (row,) = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    at = text.index(key)
+    assert row.spans == f"novel:{at}:{at + 30}"
+    assert len(secrets.spans("token" * 20_000 + " " + key)[1]) >= 1

@@ -1,20 +1,26 @@
 """Toxicity by maximum-scoring segments of word log-odds.
 
-Weights: log-odds of each token between toxic and clean texts, with an informative Dirichlet prior (the token's rate in both
-together). Tokens are the words and their stems of 4, 5 and 6 bytes, so inflected and compound words count with their
-kin. A token counts once for each pair of neighbours that it is seen between, so copies of a text add nothing. Only tokens
-whose log-odds are Z standard deviations from 0 and large have a weight, their lower bound; a word has its heaviest token's weight,
-and every other word the small negative weight DRIFT.
-
-Passages: one linear scan finds all maximal scoring segments of the word weights (Ruzzo and Tompa). A segment is significant
-when its expected number in a clean text of this length, K n exp(-lambda S), is under 1; lambda solves E[exp(lambda s)] = 1
-over the words of clean texts and K is fitted to the best segments of clean texts, which follow an extreme-value
-distribution. A text's evidence is the sum of lambda S - ln(K n) over its significant segments; a logistic curve, fitted to
-evidence of texts that the weights were not learned from, turns it into a score.
-
-Training reads a bounded sample of SAMPLE labelled documents, spread over all by a hash. Null and empty texts and texts
-without words have no evidence and get the curve's lowest score. With no labelled row, or one class only, every score is 0.
-Rows are independent. Other columns pass through unless their names clash with the result's, which win.
+Weights: log-odds of each token between toxic and clean texts, with an informative Dirichlet prior (PRIOR times the token's
+count in both together), less Z standard deviations towards 0, so that rare tokens say little; words of clean texts have
+negative weights. Tokens are the words, and their stems of some lengths as tokens of their own: a word counts once for each
+pair of neighbours that it is seen between, so copies of a text add nothing, and a stem once for each different word that it
+begins, so one frequent word lends its stem nothing. Tokens whose log-odds don't tell them from 0 have no weight. A word with a
+negative weight of its own has that; another the greater of its own and that of its longest stem with a weight. Every word of a
+passage costs 1 / LENGTH, the rate at which passages of LENGTH words end.
+
+Passages: one linear scan finds all maximal scoring segments of weights less cost (Ruzzo and Tompa). A segment is significant
+when its expected number in a random clean text of this length, K n exp(-lambda S), is under EXPECTED (Karlin and Altschul);
+texts of fewer than 1 / K words, where the formula would count less than one segment in all, are judged like such a text.
+lambda solves mean(exp(lambda s)) = 1 over the words of clean texts that the weights were not learned from (the sample is
+halved, each half is scored by the other's weights) and, as a word of caution, one more word with the greatest weight; K is
+fitted to the best segments of random texts drawn from these words, which follow an extreme-value distribution. A text's
+evidence is the sum of lambda S - ln(max(K n, 1) / EXPECTED) over its significant segments; a logistic curve, fitted to evidence
+of texts that the weights were not learned from, turns it into a score.
+
+Training reads a bounded sample of SAMPLE labelled documents, those with the least hash of doc_id (one text for each doc_id).
+Null and empty texts and texts without words have no evidence and get the curve's lowest score. With no labelled row, or one
+class only, every score is 0. Texts are read whole, at any length. Rows are independent: repeated rows and null ids keep their
+own result. Other columns pass through unless their names clash with the result's, which win.
 """
 
 from __future__ import annotations
@@ -27,41 +33,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+from quaylark.llm.language import normal
 from quaylark.session import ship
-from quaylark.llm.language import _TABLE
 
 #: Labelled documents that the weights are learned from.
 SAMPLE = 5_000
-#: Prior words as a share of all, and deviations from 0 that a token needs for a weight.
-PRIOR = 0.05
-Z = 3.3
-LEAST = 5
-#: Least lower bound of the log-odds of a token with a weight: seven times as frequent in toxic texts.
-LEAST_ODDS = 2.0
-DRIFT = -0.08
-#: Bytes of the stems that are tokens beside the words themselves.
-PREFIXES = (4, 5, 6)
+#: Prior count of a word as a share of its count in all texts.
+PRIOR = 0.2
+#: Standard deviations that are taken off log-odds.
+Z = 2.5
+#: Characters of the stems that are tokens beside the words.
+STEMS = (4, 5, 6)
 #: Words whose weight a worker keeps at hand.
 KEPT_WORDS = 500_000
+#: Words of a passage, on average: each costs the passage 1 / LENGTH.
+LENGTH = 8
+#: A passage is significant when fewer such passages are expected in a clean text.
+EXPECTED = 0.1
+#: Random clean texts that K is fitted to, and their words.
+TEXTS, TEXT_WORDS, SEED = 200, 4_000, 5
+_EULER = 0.5772156649015329
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
+    return normal(text).split() if text else []
 
 
-def segments(at: list[int], weights: list[float], drift: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end exclusive, score) of a sequence that is drift but for weights at `at`.
+def stems(word: bytes) -> list[bytes]:
+    """The word's stems, shortest first; a stem is shorter than its word."""
+    text = word.decode("utf-8", "surrogatepass")
+    return [(text[:k] + "*").encode("utf-8", "surrogatepass") for k in STEMS if len(text) > k]
 
-    Only the places with a positive weight can begin or end one. Each candidate keeps the sum before it, the sum after it
-    and the nearest candidate on its left with a lesser sum before it, so that no candidate is looked at twice."""
+
+def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (start, end exclusive, score), in order.
+
+    Runs of positive scores are candidates; each keeps the sum before it, the sum after it and the nearest candidate on
+    its left with a lesser sum before it, so that no candidate is looked at twice."""
+    above = np.concatenate(([False], scores > 0, [False]))
+    edges = np.flatnonzero(above[1:] != above[:-1])
+    if not len(edges):
+        return []
+    sums = np.concatenate(([0.0], np.cumsum(scores)))
+    begins, ends = edges[::2], edges[1::2]
     stack: list[list] = []
-    total, last = 0.0, -1
-    for place, weight in zip(at, weights):
-        before = total + (place - last - 1) * drift
-        total, last = before + weight, place
-        if weight <= 0:
-            continue
-        new = [before, total, place, place + 1, -1]
+    for new in map(list, zip(sums[begins].tolist(), sums[ends].tolist(), begins.tolist(), ends.tolist())):
+        new.append(-1)
         j = len(stack) - 1
         while True:
             while j >= 0 and stack[j][0] >= new[0]:
@@ -78,34 +95,32 @@ def segments(at: list[int], weights: list[float], drift: float) -> list[tuple[in
 
 
 class Model:
-    """Word weights, the extreme-value parameters and the curve."""
+    """Token weights (stems end with a star), the extreme-value parameters and the curve."""
 
-    def __init__(self, weights: dict[bytes, float], lam: float, k: float):
+    def __init__(self, weights: dict[bytes, float], lam: float = 0.0, k: float = 1.0):
         self.weights, self.lam, self.k = weights, lam, k
         self.slope, self.offset, self.fitted = 0.0, 0.0, False
         self.table: dict[bytes, float] = {}
 
     def weight(self, word: bytes) -> float:
-        """The heaviest of the word's tokens, 0 without one."""
-        found = max((self.weights.get(t, 0.0) for t in (word, *(word[:k] + b"*" for k in PREFIXES if len(word) > k))), default=0.0)
+        found = self.weights.get(word, 0.0)
+        if found >= 0:
+            found = max(found, next((self.weights[t] for t in stems(word)[::-1] if t in self.weights), found))
         if len(self.table) >= KEPT_WORDS:
             self.table.clear()
         self.table[word] = found
         return found
 
-    def found(self, words: list[bytes]) -> list[tuple[int, int, float]]:
-        get, hits = self.table.get, []
-        for i, word in enumerate(words if self.weights else ()):
-            if (x := get(word)) is None:
-                x = self.weight(word)
-            if x:
-                hits.append((i, x))
-        return segments([i for i, _ in hits], [x for _, x in hits], DRIFT) if hits else []
+    def scores(self, words: list[bytes]) -> np.ndarray:
+        get, weight = self.table.get, self.weight
+        return np.fromiter((x if (x := get(w)) is not None else weight(w) for w in words), np.float64, len(words)) - 1 / LENGTH
 
     def passages(self, words: list[bytes]) -> list[tuple[int, int, float]]:
         """Significant segments with their evidence."""
-        bar = math.log(self.k * max(2, len(words)))
-        return [(a, b, self.lam * s - bar) for a, b, s in self.found(words) if self.lam * s > bar]
+        if not words or self.lam <= 0:
+            return []
+        bar = math.log(max(1.0, self.k * len(words)) / EXPECTED)
+        return [(a, b, self.lam * s - bar) for a, b, s in segments(self.scores(words)) if self.lam * s > bar]
 
     def score(self, passages: list[tuple[int, int, float]]) -> float:
         if not self.fitted:
@@ -115,77 +130,92 @@ class Model:
 
 
 def learn(texts: list[list[bytes]], toxic: np.ndarray) -> Model:
-    """Weights, lambda and K from texts (as words) and labels."""
+    """Weights from texts (as words) and labels."""
     vocabulary: dict[bytes, int] = {}
-    rows = {0: ([], []), 1: ([], [])}
+    rows: dict[int, list] = {0: [], 1: []}
     for words, y in zip(texts, toxic.tolist()):
         if words:
-            ids = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int64, len(words))
-            rows[y][0].append(ids)
-    if not rows[0][0] or not rows[1][0]:
-        return Model({}, 1.0, 1.0)
-    names = list(vocabulary)
-    h = np.fromiter(map(xxh3_64_intdigest, names), np.uint64, len(names))
-    for label in (0, 1):
-        for ids in rows[label][0]:
-            around = np.concatenate(([np.uint64(1)], h[ids[:-1]])) * np.uint64(0x9E3779B97F4A7C15)
-            rows[label][1].append(around ^ np.concatenate((h[ids[1:]], [np.uint64(2)])) * np.uint64(0xC2B2AE3D27D4EB4F))
-        rows[label] = tuple(np.concatenate(x) for x in rows[label])
-    weights: dict[bytes, float] = {}
-    rates, sizes = [], []
-    for kind in (0, *PREFIXES):
-        token = h if not kind else np.fromiter((xxh3_64_intdigest(w[:kind] + b"*") if len(w) > kind else 0 for w in names), np.uint64, len(names))
-        (w0, c0), (w1, c1) = (_contexts(token[ids], around) for ids, around in (rows[0], rows[1]))
-        every = np.union1d(w0, w1)
-        y0, y1 = np.zeros(len(every)), np.zeros(len(every))
-        y0[np.searchsorted(every, w0)], y1[np.searchsorted(every, w1)] = c0, c1
-        n0, n1 = y0.sum(), y1.sum()
-        prior, mass = PRIOR * (y0 + y1), PRIOR * (n0 + n1)
-        odds = np.log((y1 + prior) / np.maximum(n1 + mass - y1 - prior, 1e-9)) - np.log((y0 + prior) / np.maximum(n0 + mass - y0 - prior, 1e-9))
-        spread = np.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
-        strong = (odds / spread >= Z) & (y1 >= LEAST) & (odds - spread >= LEAST_ODDS)
-        known = dict(zip(every[strong].tolist(), (odds - spread)[strong].tolist()))
-        for k, x in enumerate(token.tolist()):
-            if x in known:
-                weights[names[k][:kind] + b"*" if kind else names[k]] = known[x]
-        # the tokens' rates in clean texts, smoothed by the prior
-        rates.append((y0[strong] + prior[strong]) / (n0 + mass))
-        sizes.append((odds - spread)[strong])
-    model = Model(weights, _lambda(np.concatenate(rates), np.concatenate(sizes)), 1.0)
-    clean = [words for words, y in zip(texts, toxic) if not y and words]
-    best = [model.lam * max((s for _, _, s in model.found(words)), default=0.0) - math.log(max(2, len(words))) for words in clean]
-    if best:
-        model.k = float(np.clip(math.exp(float(np.mean(best)) - 0.5772156649), 1e-4, 10.0))
-    return model
-
-
-def _contexts(token: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens (0 is none) and the number of different neighbour pairs of each."""
-    pairs = _unique(token[token != 0], around[token != 0])
-    return np.unique(pairs[:, 0], return_counts=True)
-
-
-def _unique(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return np.stack((a[new], b[new]), axis=1)
-
-
-def _lambda(rate: np.ndarray, weight: np.ndarray) -> float:
-    """The positive solution of sum rate exp(x weight) + (1 - sum rate) exp(x DRIFT) = 1."""
-    if not len(rate):
-        return 1.0
-    rest = max(0.0, 1 - float(rate.sum()))
-    over = lambda x: float(rate @ np.exp(np.minimum(x * weight, 500))) + rest * math.exp(x * DRIFT) - 1
-    low, high = 1e-3, 20.0
-    if over(low) > 0:
-        return 0.05
-    for _ in range(60):
+            rows[y].append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int64, len(words)))
+    if not rows[0] or not rows[1]:
+        return Model({})
+    h = np.fromiter(map(xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary))
+    counts = [_contexts(h, rows[label]) for label in (0, 1)]
+    weights = dict(zip(vocabulary, _bounded(*counts)))
+    kinds: dict[bytes, list[int]] = {}  # of each stem: different words in clean and in toxic texts
+    for word, y0, y1 in zip(vocabulary, *(c.tolist() for c in counts)):
+        for stem in stems(word):
+            kind = kinds.setdefault(stem, [0, 0])
+            kind[0] += y0 > 0
+            kind[1] += y1 > 0
+    for size in STEMS:
+        some = [t for t in kinds if len(t.decode("utf-8", "surrogatepass")) == size + 1]
+        if some:
+            weights |= zip(some, _bounded(*np.array([kinds[t] for t in some], np.float64).T))
+    return Model({t: x for t, x in weights.items() if x})
+
+
+def _bounded(y0: np.ndarray, y1: np.ndarray) -> list[float]:
+    """Log-odds less Z standard deviations towards 0."""
+    odds, spread = log_odds(y0, y1)
+    return (np.sign(odds) * np.maximum(0, np.abs(odds) - Z * spread)).tolist()
+
+
+def calibrate(model: Model, clean: np.ndarray) -> None:
+    """lambda and K from the scores of words of clean texts."""
+    most = max(model.weights.values(), default=0.0) - 1 / LENGTH
+    if most > 0:
+        scores = np.append(clean, most)
+        model.lam = _lambda(scores)
+        model.k = _k(scores, model.lam)
+
+
+def log_odds(y0: np.ndarray, y1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of each word between the classes and their standard deviations, under a Dirichlet prior of PRIOR times the
+    counts of both."""
+    prior = PRIOR * (y0 + y1)
+    a0, a1, n0, n1 = y0 + prior, y1 + prior, y0.sum() + prior.sum(), y1.sum() + prior.sum()
+    odds = np.log(a1) - np.log(np.maximum(n1 - a1, 1e-9)) - np.log(a0) + np.log(np.maximum(n0 - a0, 1e-9))
+    return odds, np.sqrt(1 / a0 + 1 / a1)
+
+
+def _contexts(h: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
+    """For each word (a number; h: hashes of the words) the number of different pairs of neighbours it has in the texts."""
+    around = []
+    for ids in texts:
+        before = np.concatenate(([np.uint64(1)], h[ids[:-1]])) * np.uint64(0x9E3779B97F4A7C15)
+        around.append(before ^ np.concatenate((h[ids[1:]], [np.uint64(2)])) * np.uint64(0xC2B2AE3D27D4EB4F))
+    word, pair = np.concatenate(texts), np.concatenate(around)
+    order = np.lexsort((pair, word))
+    word, pair = word[order], pair[order]
+    new = np.ones(len(word), bool)
+    new[1:] = (word[1:] != word[:-1]) | (pair[1:] != pair[:-1])
+    return np.bincount(word[new], minlength=len(h)).astype(np.float64)
+
+
+def _lambda(scores: np.ndarray) -> float:
+    """The positive solution of mean(exp(lambda s)) = 1; 0 where there is none, as the mean score isn't negative."""
+    values, n = np.unique(scores, return_counts=True)
+    rate = n / n.sum()
+    if rate @ values >= 0:
+        return 0.0
+    over = lambda x: float(rate @ np.exp(np.minimum(x * values, 700))) - 1
+    low, high = 0.0, 1.0
+    while over(high) < 0:
+        low, high = high, 2 * high
+    for _ in range(80):
         mid = (low + high) / 2
         low, high = (mid, high) if over(mid) < 0 else (low, mid)
-    return low
+    return high
+
+
+def _k(scores: np.ndarray, lam: float) -> float:
+    """K from the mean of the best segments of random texts: lambda S - ln(K n) is Gumbel-distributed."""
+    draw = np.random.default_rng(SEED)
+    best = []
+    for _ in range(TEXTS):
+        sums = np.concatenate(([0.0], np.cumsum(scores[draw.integers(0, len(scores), TEXT_WORDS)])))
+        best.append(float((sums - np.minimum.accumulate(sums)).max()))
+    return math.exp(lam * float(np.mean(best)) - math.log(TEXT_WORDS) - _EULER)
 
 
 def train(rows: list[tuple[str | None, int]]) -> Model:
@@ -195,12 +225,19 @@ def train(rows: list[tuple[str | None, int]]) -> Model:
     texts, toxic = [[one.setdefault(w, w) for w in words_of(t)] for t, _ in rows], np.array([y for _, y in rows], np.int64)
     half = np.array([xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) & 1 for t, _ in rows], np.int64)
     del rows, one
-    evidence = np.zeros(len(texts))
+    evidence, clean = np.zeros(len(texts)), []
     for side in (0, 1):
-        model = learn([w for w, h in zip(texts, half) if h != side], toxic[half != side])
-        for i in np.flatnonzero(half == side):
-            evidence[i] = sum(e for _, _, e in model.passages(texts[i]))
+        half_model = learn([w for w, h in zip(texts, half) if h != side], toxic[half != side])
+        mine = np.flatnonzero(half == side)
+        scores = [half_model.scores(texts[i]) for i in mine if not toxic[i]]
+        if scores:
+            calibrate(half_model, np.concatenate(scores))
+            clean += scores
+        for i in mine:
+            evidence[i] = sum(e for _, _, e in half_model.passages(texts[i]))
     model = learn(texts, toxic)
+    if clean:
+        calibrate(model, np.concatenate(clean))
     if len(set(toxic.tolist())) == 2:
         model.slope, model.offset = _curve(evidence, toxic)
         model.fitted = True
@@ -226,6 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # of `sample` rows at most
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
     return train([(r.text, r.toxic) for r in rows.select("text", "toxic").collect()])
 
 
@@ -233,7 +271,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """df with score, predicted and passages (start, end in words, evidence)."""
     spark = df.sparkSession
     ship(spark)
-    held = spark.sparkContext.broadcast(model)  # a few thousand words at most: bounded by the sample
+    held = spark.sparkContext.broadcast(model)  # the words of the sample at most
     kept = [c for c in df.columns if c not in ("score", "predicted", "passages")]
     df, at = df.select(*kept), kept.index(text)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("evidence", pa.float64())]))

@@ -10,10 +10,14 @@ whole item where it is shorter. A document contains a window when the window's w
 3. A hit of a window's token at position p proposes the window at p less the token's offset. Proposals before the first or
    past the last word (length and position bounds) are out; the rest are compared word by word.
 
-The benchmark's shingles are broadcast when there are at most BROADCAST_ROWS of them, and joined by a shuffle else.
-
-Null texts have no words. Items without words have no windows. Documents that share a doc_id (also null) are each judged on
-their own words. Items with a null item_id count as hits but aren't named. Other columns are ignored.
+Windows are held once, however many items have them; the items of a document's windows are looked up after its windows have
+been verified. What meets the documents (the shingles, the tokens with their windows' words, the windows with their items) is
+broadcast while its measured size is at most BROADCAST_BYTES, and joined by a shuffle else.
+
+Null texts have no words. Items without words have no windows. Documents are known by doc_id and a hash of their text: rows
+that share a doc_id (also null) are each judged on their own words, equal rows alike. Items with a null item_id count as hits but
+aren't named; repeated items are named once. Equal counts: the token is the shingle with the least hash, then the first. Texts
+are read whole, at any length. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +31,8 @@ WINDOW = 13
 SHINGLE = 5
 #: A document is contaminated when hits are at least one word in SHARE.
 SHARE = 20
-#: Rows of 16 bytes that a broadcast may have.
-BROADCAST_ROWS = 1_000_000
+#: Bytes that a broadcast may have, and those of a row beside its texts.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 32
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -48,49 +52,56 @@ def shingles(of: str, size: int) -> Column:
     return F.when(last >= 0, made).otherwise(F.array().cast("array<bigint>"))
 
 
-def benchmark_windows(items: DataFrame, window: int, shingle: int) -> DataFrame:
-    """item_id, wtext, k and one row for each of the window's shingles: off, size, h."""
+def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
+    """item_id, words (of a window, with a space between) and k, their number; one row for each window of an item."""
     cut = items.select("item_id", words("text").alias("w")).where(F.size("w") > 0).distinct()
-    cut = cut.withColumns({"k": F.least(F.lit(window), F.size("w")), "size": F.least(F.lit(shingle), F.size("w"))})
-    rows = cut.select("item_id", "k", "size", "w", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("k"))).alias("at"))
-    rows = rows.select("item_id", "k", "size", F.slice("w", F.col("at") + 1, F.col("k")).alias("w")).distinct()
+    cut = cut.withColumn("k", F.least(F.lit(window), F.size("w")))
+    rows = cut.select("item_id", "k", "w", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("k"))).alias("at"))
+    return rows.select("item_id", "k", F.array_join(F.slice("w", F.col("at") + 1, F.col("k")), " ").alias("words")).distinct()
+
+
+def window_shingles(windows: DataFrame, shingle: int) -> DataFrame:
+    """words, k and one row for each shingle of a window: size, off, h."""
+    cut = windows.select("words", "k").distinct().withColumns({"w": F.split("words", " "), "size": F.least(F.lit(shingle), F.col("k"))})
     by_size = F.coalesce(*(F.when(F.col("size") == s, shingles("w", s)) for s in range(1, shingle + 1)))
-    return rows.select("item_id", "k", "size", F.array_join("w", " ").alias("wtext"), F.posexplode(by_size).alias("off", "h"))
-
-
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, carry: list[str] | None = None) -> DataFrame:
-    """One row for each of docs: doc_id, n_words, n_hit, items (ids of items with windows in it), hits (start, k, item_id),
-    and the columns named in carry."""
-    base = stored(benchmark_windows(items, window, shingle), "windows")
-    known = base.select("size", "h").distinct()
-    sizes = [(r["size"], r["n"]) for r in known.groupBy("size").agg(F.count("*").alias("n")).collect()]  # `shingle` rows at most
-    small = sum(n for _, n in sizes) <= BROADCAST_ROWS
-    held = (lambda df: F.broadcast(df)) if small else (lambda df: df)
-    cut = docs.select("doc_id", words("text").alias("w"))
-    found = None
-    for size, _ in sizes:
-        mine = cut.select("doc_id", F.posexplode(shingles("w", size)).alias("pos", "h"))
-        mine = mine.join(held(known.where(F.col("size") == size).select("h")), "h").select("doc_id", "pos", "h")
-        found = mine if found is None else found.unionByName(mine)
-    if found is None:
-        found = docs.select("doc_id", F.lit(0).alias("pos"), F.lit(0).cast("long").alias("h")).limit(0)
-    found = stored(found, "hits")
+    return cut.select("words", "k", "size", F.posexplode(by_size).alias("off", "h"))
+
+
+def held(df: DataFrame, text: str | None = None) -> DataFrame:
+    """df, to be broadcast if it is small enough; its rows are of ROW_BYTES and the bytes of the column `text`."""
+    size = df.agg(F.sum(F.lit(ROW_BYTES) + (F.octet_length(text) if text else 0))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, carry: list[str] | None = None, named: bool = True) -> DataFrame:
+    """One row for each of docs: doc_id, n_words, n_hit, hits (start, k, words), the columns named in carry and, if named, items
+    (ids of items with windows in it)."""
+    carry = carry or []
+    windows = stored(benchmark_windows(items, window), "windows")
+    base = stored(window_shingles(windows, shingle), "shingles")
+    sizes = sorted(r["size"] for r in base.select("size").distinct().collect())  # `shingle` rows at most
+    row = ["doc_id", F.xxhash64("text").alias("_t")]
+    cut = docs.select(*row, words("text").alias("w"))
+    if len(sizes) == 1:
+        mine = cut.select("doc_id", "_t", F.posexplode(shingles("w", sizes[0])).alias("pos", "h"))
+    else:
+        every = [F.transform(shingles("w", s), lambda h, i: F.struct(i.alias("pos"), h.alias("h"))) for s in sizes]
+        every = F.concat(*every) if every else F.array().cast("array<struct<pos:int,h:bigint>>")
+        mine = cut.select("doc_id", "_t", F.explode(every).alias("x")).select("doc_id", "_t", "x.pos", "x.h")
+    found = stored(mine.join(held(base.select("h").distinct()), "h").select("doc_id", "_t", "pos", "h"), "hits")
     # the corpus count of each shingle orders them; a window without one of its shingles in any document is out
     counts = found.groupBy("h").agg(F.count("*").alias("n"))
     rated = base.join(counts, "h", "left")
-    tokens = rated.groupBy("item_id", "wtext", "k").agg(F.min(F.struct("n", "h", "off")).alias("token"), F.count("n").alias("with"), F.count("*").alias("all"))
-    tokens = stored(tokens.where(F.col("with") == F.col("all")).select(F.col("token.h").alias("h"), F.col("token.off").alias("off"), "item_id", "wtext", "k"), "tokens")
-    proposed = found.join(held(tokens), "h").where("pos >= off")
-    proposed = proposed.select("doc_id", F.struct((F.col("pos") - F.col("off")).alias("start"), "k", "wtext", "item_id").alias("c"))
-    # a doc_id's proposals; rows that share it check them all against their own words
-    proposed = proposed.groupBy("doc_id").agg(F.sort_array(F.collect_set("c")).alias("c")).withColumnRenamed("doc_id", "key")
-    carry = carry or []
-    met = docs.select(*dict.fromkeys(["doc_id", "text", *carry])).join(proposed, F.col("doc_id").eqNullSafe(F.col("key")), "left").select("doc_id", *carry, words("text").alias("w"), "c")
-    right = F.filter("c", lambda c: (c["start"] + c["k"] <= F.size("w")) & (F.array_join(F.slice(F.col("w"), c["start"] + 1, c["k"]), " ") == c["wtext"]))
-    hits = F.transform(right, lambda c: F.struct(c["start"].alias("start"), c["k"].alias("k"), c["item_id"].alias("item_id")))
-    ids = dict(items.dtypes)["item_id"]
-    empty = F.array().cast(f"array<struct<start:int,k:int,item_id:{ids}>>")
-    done = met.select("doc_id", *carry, F.size("w").cast("long").alias("n_words"), F.coalesce(hits, empty).alias("hits"))
+    tokens = rated.groupBy("words", "k").agg(F.min(F.struct("n", "h", "off")).alias("token"), F.count("n").alias("with"), F.count("*").alias("all"))
+    tokens = stored(tokens.where(F.col("with") == F.col("all")).select(F.col("token.h").alias("h"), F.col("token.off").alias("off"), "words", "k"), "tokens")
+    proposed = found.join(held(tokens, "words"), "h").where("pos >= off")
+    proposed = proposed.select("doc_id", "_t", F.struct((F.col("pos") - F.col("off")).alias("start"), "k", "words").alias("c"))
+    proposed = proposed.groupBy(F.col("doc_id").alias("key"), "_t").agg(F.sort_array(F.collect_set("c")).alias("c"))
+    mine = docs.select(*dict.fromkeys(["doc_id", "text", *carry])).withColumn("_t", row[1])
+    met = mine.join(proposed, F.col("doc_id").eqNullSafe(F.col("key")) & (mine["_t"] == proposed["_t"]), "left").select("doc_id", mine["_t"], *carry, words("text").alias("w"), "c")
+    right = F.filter("c", lambda c: (c["start"] + c["k"] <= F.size("w")) & (F.array_join(F.slice(F.col("w"), c["start"] + 1, c["k"]), " ") == c["words"]))
+    empty = F.array().cast("array<struct<start:int,k:int,words:string>>")
+    done = met.select("doc_id", "_t", *carry, F.size("w").cast("long").alias("n_words"), F.coalesce(right, empty).alias("hits"))
     # hits are in order of their starts: words covered = what each adds past the end of those before
     nothing = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(
@@ -99,8 +110,15 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
         lambda a, c: F.struct(F.greatest(a["end"], c["start"] + c["k"]).alias("end"), (a["n"] + F.greatest(F.lit(0), c["start"] + c["k"] - F.greatest(a["end"], c["start"]))).alias("n")),
         lambda a: a["n"],
     )
-    named = F.array_distinct(F.filter(F.transform("hits", lambda c: c["item_id"]), lambda x: x.isNotNull()))
-    return done.select("doc_id", *carry, "n_words", covered.alias("n_hit"), named.alias("items"), "hits")
+    done = done.select("doc_id", "_t", *carry, "n_words", covered.alias("n_hit"), "hits")
+    if not named:
+        return done.drop("_t")
+    done = stored(done, "verified")
+    ids = done.select(F.col("doc_id").alias("key"), "_t", F.explode(F.array_distinct("hits.words")).alias("words")).distinct()
+    ids = ids.join(held(windows.where("item_id IS NOT NULL").select("words", "item_id"), "words"), "words").groupBy("key", "_t").agg(F.collect_set("item_id").alias("items"))
+    none = F.array().cast(f"array<{dict(items.dtypes)['item_id']}>")
+    out = done.join(ids, F.col("doc_id").eqNullSafe(F.col("key")) & (done["_t"] == ids["_t"]), "left")
+    return out.select("doc_id", *carry, "n_words", "n_hit", "hits", F.coalesce("items", none).alias("items"))
 
 
 def contaminated(share: int = SHARE) -> Column:

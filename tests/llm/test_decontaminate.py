@@ -48,7 +48,7 @@ def test_against_brute_force(spark):
 
 
 def test_without_broadcast_and_empty(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
     said = " ".join(f"w{k}" for k in range(20))
     docs, items = [(1, said + " more", ""), (2, "none", "")], [(9, said, "")]
     d = spark.createDataFrame(docs, "doc_id long, text string, x string")
@@ -56,3 +56,24 @@ def test_without_broadcast_and_empty(spark, monkeypatch):
     assert got(decontaminate.contamination(d, b)) == brute(docs, items)
     assert got(decontaminate.contamination(d, b.limit(0))) == [(1, 21, 0, []), (2, 1, 0, [])]
     assert got(decontaminate.contamination(d.limit(0), b)) == []
+
+
+def test_equal_items_are_held_once(spark, monkeypatch):
+    said = " ".join(f"w{k}" for k in range(60))
+    items = [(k, said, "") for k in range(100)] + [(200, "w1 w2", ""), (201, said + " more", "")]
+    docs = [(k, f"before {said} after", "") for k in range(30)] + [(40, "W2, w1 w2!", ""), (None, said, ""), (None, "w3", "")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, words string")
+    b = spark.createDataFrame(items, "item_id long, text string, words string")
+    seen = []
+    monkeypatch.setattr(decontaminate, "stored", lambda df, name="": seen.append((name, df.count())) or df)
+    assert got(decontaminate.contamination(d, b)) == brute(docs, items)
+    assert dict(seen)["tokens"] == 49 and dict(seen)["shingles"] < 500
+    assert [r.n_hit for r in decontaminate.contamination(d, b, named=False).orderBy("doc_id").collect() if r.doc_id is not None] == [60] * 30 + [2]
+
+
+def test_very_long_texts_and_ties(spark):
+    said = " ".join(f"w{k}" for k in range(20))
+    docs = [(1, "a b c d " * 40_000 + said + " a" * 100_000, ""), (2, "a " * 200_000, "")]
+    items = [(1, said, ""), (2, "a " * 13, ""), (3, "a b c d", "")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string, x string"), spark.createDataFrame(items, "item_id long, text string, x string")
+    assert got(decontaminate.contamination(d, b)) == [(1, 260_020, 260_020, [1, 2, 3]), (2, 200_000, 200_000, [2])]

@@ -39,7 +39,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Documents without benchmark passages of more than a twentieth of their words."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows = docs.select("doc_id", "text", F.struct(*(f"`{c}`" for c in docs.columns if c not in ("doc_id", "text"))).alias("row"))
-    clean = decontaminate.contamination(rows, items, carry=["text", "row"]).where(~decontaminate.contaminated())
+    clean = decontaminate.contamination(rows, items, carry=["text", "row"], named=False).where(~decontaminate.contaminated())
     return clean.select(*(F.col(c if c in ("doc_id", "text") else f"row.`{c}`").alias(c) for c in docs.columns))
 
 

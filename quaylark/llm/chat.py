@@ -1,7 +1,7 @@
 """Chat formatting with Spark expressions only.
 
-A conversation's turns are collected as structs and sorted; neighbours of one role become one block of the template, and
-the blocks are concatenated. The template:
+A conversation's turns are collected as structs and sorted; neighbours of one role are put into one block by array functions
+(the places where the role changes cut the sorted array), and the blocks are concatenated. The template:
 
     <s><|turn|>ROLE<|says|>TEXT<|next|>TEXT<|end|><|turn|>ROLE<|says|>TEXT<|end|></s>
 
@@ -9,11 +9,12 @@ the blocks are concatenated. The template:
 and one is put behind the first sign of each control string (of this template or of other usual ones), so a text can never
 end its turn; taking away each backslash that stands before a sign restores the text exactly.
 
-The output keeps the pieces of the formatted text with a flag for those under the loss mask: the assistant's texts.
+The loss mask is an array of spans over the formatted text (code points, end exclusive): one for each of the assistant's texts.
+Turns and loss text are read back from the formatted text alone, by its control strings and by these spans.
 
 Turns are sorted by turn, then role, then text, nulls first; a null text or role is empty. Repeated rows are turns of their
-own. Rows with a null conv_id are one conversation. One conversation's turns meet in one row, as its formatted text must.
-Other columns are ignored.
+own. Rows with a null conv_id are one conversation. An empty table gives no rows. One conversation's turns meet in one row, as its
+formatted text must; long texts and long conversations are whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,36 +36,56 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, "\\\\(.)", "$1")
 
 
-def format_chats(turns: DataFrame, learn: str = "assistant") -> DataFrame:
-    """conv_id, formatted, pieces (array of text and loss; joined they are formatted)."""
-    rows = turns.select("conv_id", F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    sorted_ = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    last = F.size("turns") - 1
+def let(value: Column, then) -> Column:
+    """then(value), with value worked out once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def merged(turns: Column) -> Column:
+    """Blocks (role and texts) of a sorted array of turns: neighbours of one role are one block."""
+    places = F.filter(F.sequence(F.lit(0), F.size(turns) - 1), lambda i: (i == 0) | (turns[i]["role"] != F.get(turns, i - 1)["role"]))
+    block = lambda x, i, j: F.struct(
+        x["turns"][i]["role"].alias("role"),
+        F.transform(F.slice(x["turns"], i + 1, F.coalesce(F.get(x["places"], j + 1), F.size(x["turns"])) - i), lambda t: t["text"]).alias("texts"),
+    )
+    return let(F.struct(turns.alias("turns"), places.alias("places")), lambda x: F.transform(x["places"], lambda i, j: block(x, i, j)))
 
-    def pieces(turn: Column, i: Column) -> Column:
-        role = turn["role"]
-        same_before = (i > 0) & (F.get(F.col("turns"), i - 1)["role"] == role)
-        same_after = (i < last) & (F.get(F.col("turns"), i + 1)["role"] == role)
-        begin = F.when(i == 0, "<s>").otherwise("")
-        head = F.when(same_before, "<|next|>").otherwise(F.concat(begin, F.lit("<|turn|>"), escaped(role), F.lit("<|says|>")))
-        tail = F.when(same_after, "").otherwise(F.concat(F.lit("<|end|>"), F.when(i == last, "</s>").otherwise("")))
-        piece = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
-        return F.array(piece(head, F.lit(False)), piece(escaped(turn["text"]), role == learn), piece(tail, F.lit(False)))
 
-    cut = sorted_.select("conv_id", F.flatten(F.transform("turns", pieces)).alias("pieces"))
-    return cut.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"), "pieces")
+def format_chats(turns: DataFrame, learn: str = "assistant") -> DataFrame:
+    """conv_id, formatted, loss (array of start and end: the mask's spans over formatted)."""
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    sorted_ = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    said = lambda b: F.struct(escaped(b["role"]).alias("role"), F.transform(b["texts"], escaped).alias("texts"), (b["role"] == learn).alias("learn"))
+    blocks = let(F.col("turns"), lambda t: F.transform(merged(t), said))
+    cut = sorted_.select("conv_id", blocks.alias("blocks"))
+    text = lambda b: F.concat(F.lit("<|turn|>"), b["role"], F.lit("<|says|>"), F.array_join(b["texts"], "<|next|>"), F.lit("<|end|>"))
+    formatted = F.concat(F.lit("<s>"), F.array_join(F.transform("blocks", text), ""), F.lit("</s>"))
+    # each text with the number of signs between it and the one before
+    gap = lambda b, i, j: F.when(j > 0, 8).otherwise(F.when(i > 0, 7).otherwise(3) + 16 + F.length(b["role"]))
+    items = F.flatten(F.transform("blocks", lambda b, i: F.transform(b["texts"], lambda t, j: F.struct(gap(b, i, j).alias("gap"), F.length(t).alias("n"), b["learn"].alias("learn")))))
+    span = lambda a, x: F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["n"]).alias("end")))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    loss = F.aggregate(
+        items,
+        F.struct(F.lit(0).alias("at"), none.alias("spans")),
+        lambda a, x: F.struct((a["at"] + x["gap"] + x["n"]).alias("at"), F.when(x["learn"], F.concat(a["spans"], span(a, x))).otherwise(a["spans"]).alias("spans")),
+        lambda a: a["spans"],
+    )
+    return cut.select("conv_id", formatted.alias("formatted"), loss.alias("loss"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """formatted with turns (array of role and text), parsed from the formatted text, and loss_text."""
+    """formatted with turns (array of role and text), parsed from the formatted text, and loss_text, cut from it by the spans."""
     body = F.regexp_replace("formatted", "^<s>|</s>$", "")
     blocks = F.array_remove(F.split(body, r"<\|turn\|>"), "")
 
     def turns_of(block: Column) -> Column:
         halves = F.split(F.regexp_replace(block, r"<\|end\|>$", ""), r"<\|says\|>")
-        return F.transform(F.split(halves[1], r"<\|next\|>"), lambda t: F.struct(unescaped(halves[0]).alias("role"), unescaped(t).alias("text")))
+        return let(halves, lambda h: F.transform(F.split(h[1], r"<\|next\|>"), lambda t: F.struct(unescaped(h[0]).alias("role"), unescaped(t).alias("text"))))
 
-    loss = F.array_join(F.transform(F.filter("pieces", lambda p: p["loss"]), lambda p: unescaped(p["text"])), "")
+    # four bytes a sign, so that a span is found without counting signs from the start
+    piece = lambda wide, s: F.decode(F.substring(wide, 4 * s["start"] + 1, 4 * (s["end"] - s["start"])), "UTF-32")
+    loss = let(F.struct(F.encode("formatted", "UTF-32").alias("wide"), F.col("loss").alias("spans")), lambda x: F.array_join(F.transform(x["spans"], lambda s: unescaped(piece(x["wide"], s))), ""))
     return formatted.withColumns({"turns": F.flatten(F.transform(blocks, turns_of)), "loss_text": loss})
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -15,6 +15,8 @@ P61 = np.uint64((1 << 61) - 1)
 FLUSH_WORDS = 600_000
 #: Bytes of text that one bucket of hashes stands for, so that a bucket fits a worker at any input size.
 BUCKET_BYTES = 16 << 20
+#: Rows of one key that a task joins in any case.
+HUB = 256
 
 
 def mulmod(a: np.ndarray, b: int) -> np.ndarray:
@@ -100,23 +102,31 @@ def bucket_count(docs: DataFrame, text: str = "text") -> int:
     return int(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)))
 
 
+def met(left: DataFrame, right: DataFrame, key: str, n: int, how: str = "inner") -> DataFrame:
+    """left joined by key with right, which has one row a key, where some keys may have many of left's n rows.
+
+    Keys with more than twice a task's share of the rows are few (half the shuffle partitions at most): their rows stay where
+    they are and meet a broadcast, the others are shuffled."""
+    most = max(HUB, 2 * n // int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hubs = F.broadcast(left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(key))
+    rest = left.join(hubs, key, "left_anti").join(right, key, how)
+    return rest.unionByName(left.join(hubs, key, "left_semi").join(F.broadcast(right.join(hubs, key, "left_semi")), key, how))
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) for the ids of edges (a, b): the smallest id reachable.
 
-    Alternating large-star and small-star steps; each joins nothing but groups neighbours, so a hub is summed
-    up before it is shuffled, and each round is written to the shared folder."""
-    spark = edges.sparkSession
+    In each round every node's edges to smaller neighbours move to the smallest of them, then every node points at its parent's
+    parent. Neighbours are summed up by a minimum before they are shuffled, rows of hubs meet a broadcast, and each round is
+    written to the shared folder."""
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     for _ in range(most_rounds):
-        small = now.groupBy("a").agg(F.min("b").alias("m"))
-        # each node's edges to smaller neighbours move to the smallest of them
-        linked = now.join(small, "a")
-        moved = linked.select(F.when(F.col("b") > F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b"))
-        # then every node points at its parent's parent
+        n = now.count()
+        linked = met(now, now.groupBy("a").agg(F.min("b").alias("m")), "a", n)
+        moved = stored(linked.select(F.when(F.col("b") > F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b")).distinct(), "moved")
         parent = moved.groupBy("a").agg(F.min("b").alias("b"))
-        up = parent.select(F.col("a").alias("b"), F.col("b").alias("top"))
-        jumped = moved.join(up, "b", "left").select("a", F.coalesce("top", "b").alias("b"))
-        kept = moved.join(parent.withColumnRenamed("b", "m"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        jumped = met(moved, parent.select(F.col("a").alias("b"), F.col("b").alias("top")), "b", n, "left").select("a", F.coalesce("top", "b").alias("b"))
+        kept = met(moved, parent.withColumnRenamed("b", "m"), "a", n).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = stored(jumped.unionByName(kept).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
         # done when each id has one parent and no parent has one
         ends = after.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(after.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down")))

@@ -2,18 +2,26 @@
 
 1. Every document's distinct shingles (5 words, A-Z lower-cased; shorter texts: all words as one) are hashed and counted
    in buckets of hash values. A bucket answers with each document's number of shingles that no other document has, and
-   its shared shingles with their document counts. 40 bits of a hash within a bucket are enough: counts only order the
-   shingles, and two sets compare by 40 bits and a bucket number each.
+   its shared shingles with their document counts. Shingles that a sample finds in very many documents would fill their
+   bucket: these are counted (over all documents) by task before they are shuffled, and go straight to their documents.
 2. Sets are ordered rarest shingle first. Two sets can be alike only if their prefixes of n - ceil(t n) + 1 shingles
    meet. A set whose prefix is all its own has no partner and goes no further. Equal sets become one class.
-3. Classes that meet in a prefix shingle form groups, by star edges and not by pairs. A group's sets meet in one task
-   (a large group: in one task for each pair of its hash chunks), are put into a trie in the global order, and each set
-   walks the trie once: overlap with a path is shared by all sets below it, subtrees are cut where the overlap so far and
-   the shingles that remain on either side can't reach the bound, and where all sets below are linked with it already.
-   Accepted pairs are checked on their full sets. Only links that join two components are put out.
-
-Null or empty texts have empty sets and are linked with nothing. Rows that share a doc_id count as one document whose set
-is the union of theirs; a null doc_id is one document too and is the smallest. Other columns are ignored.
+3. Classes that meet in a prefix shingle form groups, by star edges and not by pairs. A group's sets meet in one task, are
+   put into a trie in the global order, and each set walks the trie once: overlap with a path is shared by all sets below
+   it, subtrees are cut where the overlap so far and the shingles that remain on either side can't reach the bound, and where
+   all sets below are linked with it already. Only links that join two components are put out.
+4. A group that is too much for a task is cut twice: by a hash, and by each set's rarest shared prefix shingle, so a set is
+   sent twice. That links near copies. What is left are prefix shingles whose sets are still of several components: those
+   sets meet, a trie for each such shingle, so a set is sent at most once for each shingle of its prefix, however large the
+   group. (Sets of one such shingle that are too much for a task are cut by a hash and met chunk by chunk.)
+
+Shingles are equal by the low 40 bits of a 61-bit hash within its bucket and the bucket's number, some 45 to 60 bits in all;
+words are not compared. Two sets agree by chance on one shingle of theirs with a probability of about n * m / 2^45 at
+the least, 1e-8 for two sets of 500; a link changes only if the pair is that near to the bound.
+
+Rows are known by doc_id and text, so rows that share a doc_id (or have none) are each judged by their own text; equal rows
+alike. Null or empty texts have empty sets and are linked with nothing. A component is named by the least doc_id that isn't
+null in it. Very long texts are read whole, a block of words at a time at most one text more. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +33,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaylark.llm import common
-from quaylark.llm.substring_dedup import NULL_ID
 from quaylark.session import ship, stored
 
 SHINGLE = 5
@@ -33,17 +40,21 @@ SHINGLE = 5
 LIKE = 80
 #: Bytes of a hash within its bucket.
 Q_BYTES = 5
-#: Shared shingles of one task's trie; larger groups are cut into chunks and joined chunk by chunk.
+#: Shared shingles of one task's trie; larger groups are cut.
 CHUNK = 1_500_000
-#: Shared shingles that are never worth a cut, and chunks of a group that a task could hold whole.
-LEAST_CHUNK, MOST_CUTS = 20_000, 16
+#: Shared shingles that are never worth a cut.
+LEAST_CHUNK = 20_000
+#: Documents that a bucket may hold of one shingle by far, and rows of the sample that looks for such shingles: a thousandth of
+#: all within these bounds. A shingle of HOT_LEAST rows of the sample is the rarest that can be told.
+HOT, HOT_LEAST, SAMPLE, MOST_SAMPLE = 10_000, 20, 20_000, 1_000_000
+_HOT_MARK = 0xFFFFFFFF
 
 _SETS = "doc_id long, n long, digest binary, packed binary, prefix array<long>"
 
 
 def block_sets(held: list, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """ids, document number of each shingle, hash of each distinct shingle, ordered by document."""
-    held = [(NULL_ID if i is None else i, words) for i, words in held if words]
+    held = [(i, words) for i, words in held if words]
     ids = np.array([i for i, _ in held], np.int64)
     counts = np.array([len(w) for _, w in held], np.int64)
     t = common.word_hashes([w for _, words in held for w in words])
@@ -75,21 +86,86 @@ def prefix_length(n: int, like: int) -> int:
     return n - -(-like * n // 100) + 1 if n else 0
 
 
+def hot_messages(ids: np.ndarray, at: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    """Documents and their hot shingles (places in the list of hot ones), packed into one row for each part of the documents."""
+    to = common.mixed(ids) % np.uint64(parts)
+    order = np.lexsort((at, ids, to))
+    ids, at, to = ids[order], at[order], to[order]
+    out = []
+    for a, c in zip(*(x.tolist() for x in _grouped(to))):
+        head = np.array([_HOT_MARK, c], "<u4").tobytes()
+        out.append((int(to[a]), head + common.planes(np.diff(ids[a : a + c], prepend=0), 8) + common.planes(at[a : a + c], 4)))
+    return out
+
+
+def read_hot(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    c = int(np.frombuffer(packed, "<u4", 2)[1])
+    return np.cumsum(common.unplanes(packed[8:], c, 8).astype(np.int64)), common.unplanes(packed[8 + 8 * c :], c, 4).astype(np.int64)
+
+
+def hot_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, of shingles that fill their bucket, and the number of documents of each.
+
+    A sample only decides which shingles are looked after (no result rests on it); the numbers count all documents, summed up
+    by task before they are shuffled."""
+    n = docs.count()
+    size = min(MOST_SAMPLE, max(SAMPLE, n // 1000))
+    least = max(HOT_LEAST, -(-HOT * min(size, n) // max(1, n)))
+    if n < HOT:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def often(batches):
+        for held in common.rows_of(batches, lower=True):
+            _, doc, h = block_sets(held, shingle)
+            values, counts = np.unique(h, return_counts=True)
+            kept = counts >= max(2, len(held) * least // (2 * size))
+            yield pa.RecordBatch.from_arrays([pa.array(values[kept].astype(np.int64)), pa.array(counts[kept])], ["h", "n"])
+
+    def count(batches):
+        total = np.zeros(len(held_hot.value), np.int64)
+        for held in common.rows_of(batches, lower=True):
+            _, doc, h = block_sets(held, shingle)
+            at = np.minimum(np.searchsorted(held_hot.value, h), len(total) - 1)
+            total += np.bincount(at[held_hot.value[at] == h], minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["h", "n"])
+
+    summed = lambda df: df.groupBy("h").agg(F.sum("n").alias("n"))
+    rows = docs.select("doc_id", "text")
+    found = summed(common.sampled(rows, ["doc_id"], size).mapInArrow(often, "h long, n long")).where(F.col("n") >= least)
+    hot = np.sort(np.array([r.h for r in found.select("h").collect()], np.uint64))  # size * shingles of a document / least at most
+    counts = np.full(len(hot), 2, np.int64)
+    if len(hot):
+        held_hot = docs.sparkSession.sparkContext.broadcast(hot)
+        for r in summed(rows.mapInArrow(count, "h long, n long")).collect():
+            counts[r.h] = max(2, r.n)
+    return hot, counts
+
+
 def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, like: int = LIKE) -> DataFrame:
-    """doc_id, n, and for sets that may have a partner digest, packed (counts and shared shingles in global order) and
+    """docs: doc_id (here any number of a row, not null) and text. doc_id, n, and for sets that may have a partner digest, packed (counts and shared shingles in global order) and
     prefix (shared shingles of the prefix)."""
     ship(docs.sparkSession)
     buckets = common.bucket_count(docs)
+    hot, hot_counts = hot_shingles(docs, shingle)
+    hot_tokens = (hot // np.uint64(buckets) & np.uint64((1 << 8 * Q_BYTES) - 1)).astype(np.int64) * buckets + (hot % np.uint64(buckets)).astype(np.int64)
+    hot_held = docs.sparkSession.sparkContext.broadcast((hot, hot_counts, hot_tokens))  # bounded by the sample
 
     def send(batches):
+        hot = hot_held.value[0]
         for held in common.rows_of(batches, lower=True):
             ids, doc, h = block_sets(held, shingle)
             if not len(h):
                 continue
+            rows = []
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+                is_hot = hot[at] == h
+                rows = hot_messages(ids[doc[is_hot]], at[is_hot], buckets)
+                doc, h = doc[~is_hot], h[~is_hot]
             q, bucket = np.divmod(h, np.uint64(buckets))
             by = np.argsort(bucket, kind="stable")
-            rows, begins_of = [], _grouped(bucket[by])
-            for a, c in zip(*(x.tolist() for x in begins_of)):
+            for a, c in zip(*(x.tolist() for x in _grouped(bucket[by]))):
                 at = by[a : a + c]
                 begins, lengths = _grouped(doc[at])
                 named = ids[doc[at[begins]]]
@@ -97,12 +173,23 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, like: int = LIKE) -> D
             yield pa.RecordBatch.from_pydict({"bucket": [r[0] for r in rows], "packed": [r[1] for r in rows]}, schema=pa.schema([("bucket", pa.int32()), ("packed", pa.binary())]))
 
     def count(table: pa.Table) -> pa.Table:
-        here, ids, q = table.column("bucket")[0].as_py(), [], []
+        here, ids, q, direct = table.column("bucket")[0].as_py(), [], [], []
+        out = {"to": [], "packed": []}
         for packed in table.column("packed").to_pylist():
+            if packed[:4] == b"\xff\xff\xff\xff":
+                direct.append(read_hot(packed))
+                continue
             c, m = (int(x) for x in np.frombuffer(packed, "<u4", 2))
             named = np.cumsum(common.unplanes(packed[8:], m, 8).astype(np.int64))
             ids.append(np.repeat(named, common.unplanes(packed[8 + 8 * m :], m, 4).astype(np.int64)))
             q.append(common.unplanes(packed[8 + 12 * m :], c, Q_BYTES))
+        if direct:  # of the documents that are gathered under this number; equal rows send the same
+            pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*direct)]), axis=1)
+            for to, packed in hot_messages(pairs[0], pairs[1], buckets):
+                out["to"].append(to)
+                out["packed"].append(packed)
+        if not ids:
+            return pa.table({"to": pa.array(out["to"], pa.int32()), "packed": pa.array(out["packed"], pa.binary())})
         ids, q = np.concatenate(ids), np.concatenate(q)
         order = np.lexsort((ids, q))
         ids, q = ids[order], q[order]
@@ -110,10 +197,9 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, like: int = LIKE) -> D
         new[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])
         ids, q = ids[new], q[new]
         df = np.repeat(*(lambda b, n: (n, n))(*_grouped(q)))
-        to = ids % buckets
+        to = common.mixed(ids) % np.uint64(buckets)
         order = np.lexsort((ids, to))
         ids, q, df, to = ids[order], q[order], df[order], to[order]
-        out = {"to": [], "packed": []}
         for a, c in zip(*(x.tolist() for x in _grouped(to))):
             i, d = ids[a : a + c], df[a : a + c]
             begins, lengths = _grouped(i)
@@ -127,6 +213,14 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, like: int = LIKE) -> D
     def gather(table: pa.Table) -> pa.Table:
         ids, n, shared_ids, tokens, dfs = [], [], [], [], []
         for packed in table.column("packed").to_pylist():
+            if packed[:4] == b"\xff\xff\xff\xff":
+                i, at = read_hot(packed)
+                ids.append(i)
+                n.append(np.ones(len(i), np.int64))
+                shared_ids.append(i)
+                dfs.append(hot_held.value[1][at])
+                tokens.append(hot_held.value[2][at])
+                continue
             here, m, s = (int(x) for x in np.frombuffer(packed, "<u4", 3))
             at = 12
             i = np.cumsum(common.unplanes(packed[at:], m, 8).astype(np.int64))
@@ -215,9 +309,11 @@ def build_trie(sets: list[np.ndarray], sizes: list[int], members: list[int]) ->
     return root
 
 
-def links(ids: list[int], sizes: list[int], sets: list[np.ndarray], n_ranks: int, like: int, indexed: list[int], probes: list[int]) -> list[tuple[int, int]]:
-    """Links between probes and indexed sets that join two components, by one walk of the trie for each probe."""
-    parent = list(range(len(ids)))
+def links(ids: list[int], sizes: list[int], sets: list[np.ndarray], n_ranks: int, like: int, indexed: list[int], probes: list[int], known: list[int]) -> list[tuple[int, int]]:
+    """Links between probes and indexed sets that join two components, by one walk of the trie for each probe. known: a number
+    for each set, the same for sets that are of one component already."""
+    first: dict[int, int] = {}
+    parent = [first.setdefault(c, k) for k, c in enumerate(known)]
 
     def find(k: int) -> int:
         while parent[k] != k:
@@ -256,8 +352,8 @@ def links(ids: list[int], sizes: list[int], sets: list[np.ndarray], n_ranks: int
     return out
 
 
-def piece_links(rows: list[tuple[int, int, bytes, bool]], like: int) -> list[tuple[int, int]]:
-    """rows: id, n, packed, whether of the second chunk. Within one chunk: all are indexed and all probe."""
+def piece_links(rows: list[tuple[int, int, bytes, bool, int]], like: int) -> list[tuple[int, int]]:
+    """rows: id, n, packed, whether of the second chunk, component. Within one chunk: all are indexed and all probe."""
     counts = [len(r[2]) // 12 for r in rows]
     tokens = np.concatenate([common.unplanes(r[2][4 * c :], c, 8) for r, c in zip(rows, counts)])
     dfs = np.concatenate([common.unplanes(r[2], c, 4) for r, c in zip(rows, counts)])
@@ -267,43 +363,20 @@ def piece_links(rows: list[tuple[int, int, bytes, bool]], like: int) -> list[tup
     sets = np.split(rank[back], np.cumsum(counts)[:-1])
     second = [k for k, r in enumerate(rows) if r[3]]
     indexed = [k for k, r in enumerate(rows) if not r[3]]
-    return links([r[0] for r in rows], [r[1] for r in rows], sets, len(values), like, indexed, second or indexed)
+    return links([r[0] for r in rows], [r[1] for r in rows], sets, len(values), like, indexed, second or indexed, [r[4] for r in rows])
 
 
-def similar_components(docs: DataFrame, shingle: int = SHINGLE, like: int = LIKE) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row for each row of docs."""
-    spark = docs.sparkSession
-    sets = stored(shingle_sets(docs, shingle, like), "sets")
-    open_ = sets.where("digest IS NOT NULL")
-    # equal sets are one class, known by its least id
-    # (sums are stored before they meet their rows again: a join of two plain tables can split a group of copies)
-    classes = stored(open_.groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "classes")
-    member = stored(open_.select("doc_id", "n", "digest").join(classes, ["digest", "n"]).select("doc_id", "rep"), "member")
-    copies = member.where("doc_id <> rep").select("doc_id")
-    reps = open_.join(copies, "doc_id", "left_anti")
-    # groups that meet in a prefix shingle: star edges to the least member
-    posted = reps.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("id"))
-    least = stored(posted.groupBy("token").agg(F.min("id").alias("m"), F.count("*").alias("c")).where("c > 1").select("token", "m"), "least")
-    stars = posted.join(least, "token").where("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b")).distinct()
-    groups = stored(common.components(stars), "groups")
-    chunks = groups.join(sets.select(F.col("doc_id").alias("id"), (F.octet_length("packed") / 12).cast("long").alias("size")), "id").groupBy("component").agg(F.sum("size").alias("size"))
-    chunks = stored(chunks, "chunks")
-    # a group that stands out among the tasks is cut, MOST_CUTS at most as each chunk is sent as often; what a task can't hold always is
-    fair = max(LEAST_CHUNK, 4 * (chunks.agg(F.sum("size")).first()[0] or 0) // int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = F.greatest(F.ceil(F.col("size") / CHUNK), F.least(F.lit(MOST_CUTS), F.ceil(F.col("size") / fair)))
-    chunks = chunks.select("component", cuts.cast("int").alias("k"))
-    placed = groups.join(chunks, "component").withColumn("c", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    placed = placed.select("id", F.struct("component", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j")).alias("piece"), (F.col("c") > F.col("other")).alias("second"))
+def links_of(placed: DataFrame, reps: DataFrame, like: int) -> DataFrame:
+    """Links (a, b) of the sets of each piece. placed: id, piece (struct of by, i, j), second, component."""
     pieces = placed.join(reps.select(F.col("doc_id").alias("id"), "n", "packed"), "id")
-    pieces = pieces.select(F.col("piece.component").alias("component"), F.col("piece.i").alias("i"), F.col("piece.j").alias("j"), "id", "n", "packed", "second")
-    pieces = pieces.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "id")
+    pieces = pieces.select(F.col("piece.by").alias("by"), F.col("piece.i").alias("i"), F.col("piece.j").alias("j"), "id", "n", "packed", "second", "component")
+    pieces = pieces.repartition("by", "i", "j").sortWithinPartitions("by", "i", "j", "id")
 
     def join(batches):
         key, rows = None, []
         for batch in batches:
             out = []
-            for row in zip(*(batch.column(c).to_pylist() for c in range(7))):
+            for row in zip(*(batch.column(c).to_pylist() for c in range(8))):
                 if row[:3] != key:
                     out += piece_links(rows, like) if len(rows) > 1 else []
                     key, rows = row[:3], []
@@ -313,12 +386,67 @@ def similar_components(docs: DataFrame, shingle: int = SHINGLE, like: int = LIKE
         out = piece_links(rows, like) if len(rows) > 1 else []
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
-    linked = common.components(pieces.mapInArrow(join, "a long, b long")).withColumnRenamed("id", "rep")
-    known = sets.select(F.col("doc_id").alias("key"), "n").join(member.withColumnRenamed("doc_id", "key"), "key", "left").withColumn("rep", F.coalesce("rep", "key"))
-    known = known.join(linked, "rep", "left").select("key", "n", F.coalesce("component", "rep").alias("component"))
-    key = F.coalesce("doc_id", F.lit(NULL_ID))
-    joined = docs.select("doc_id").join(known, key == F.col("key"), "left")
-    return joined.select("doc_id", F.coalesce("n", F.lit(0)).alias("n_shingles"), F.nullif(F.coalesce("component", "doc_id"), F.lit(NULL_ID)).alias("component_id"))
+    return pieces.mapInArrow(join, "a long, b long")
+
+
+def linked_rows(docs: DataFrame, shingle: int = SHINGLE, like: int = LIKE) -> tuple[DataFrame, DataFrame]:
+    """docs: doc_id (any number that tells rows apart, not null) and text. Two tables: doc_id and n of all rows with words; id and
+    component (the least id reachable) of those that are linked or equal to another."""
+    spark = docs.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sets = stored(shingle_sets(docs, shingle, like), "sets")
+    open_ = sets.where("digest IS NOT NULL")
+    # equal sets are one class, known by its least id
+    # (sums are stored before they meet their rows again: a join of two plain tables can split a group of copies)
+    classes = stored(open_.groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "classes")
+    member = stored(open_.select("doc_id", "n", "digest").join(classes, ["digest", "n"]).select("doc_id", "rep"), "member")
+    copies = member.where("doc_id <> rep").select("doc_id")
+    reps = open_.join(copies, "doc_id", "left_anti")
+    # groups that meet in a prefix shingle: star edges to the least member
+    posted = stored(reps.select(F.col("doc_id").alias("id"), (F.octet_length("packed") / 12).cast("long").alias("size"), F.posexplode("prefix").alias("pos", "token")), "posted")
+    n_posted = posted.count()
+    tokens = stored(posted.groupBy("token").agg(F.min("id").alias("m"), F.count("*").alias("c"), F.sum("size").alias("load")).where("c > 1"), "tokens")
+    shared = stored(common.met(posted, tokens, "token", n_posted), "shared")
+    groups = stored(common.components(shared.where("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b")).distinct()).withColumnRenamed("component", "by"), "groups")
+    sized = stored(groups.join(shared.groupBy("id").agg(F.first("size").alias("size"), F.min(F.struct("pos", "token", "load")).alias("rare")), "id"), "sized")
+    chunks = stored(sized.groupBy("by").agg(F.sum("size").alias("load")), "chunks")
+    # a group that stands out among the tasks is cut, and what a task can't hold always is
+    bound = min(CHUNK, max(LEAST_CHUNK, 4 * (chunks.agg(F.sum("load")).first()[0] or 0) // partitions))
+    chunks = stored(chunks.select("by", F.ceil(F.col("load") / bound).cast("int").alias("k")), "cuts")
+    placed = common.met(sized, chunks, "by", sized.count())
+    part = lambda k: F.pmod(F.xxhash64("id"), k).cast("int")
+    alone = lambda by, c: F.struct(by.alias("by"), c.alias("i"), c.alias("j")).alias("piece")
+    rare = F.greatest(F.lit(1), F.ceil(F.col("rare.load") / bound)).cast("int")
+    ones = placed.select("id", alone(F.col("by"), part(F.col("k"))), F.lit(False).alias("second"), F.col("id").alias("component"))
+    twos = placed.where("k > 1").select("id", alone(F.xxhash64(F.lit("rare"), "rare.token"), part(rare)), F.lit(False).alias("second"), F.col("id").alias("component"))
+    found = stored(links_of(ones.unionByName(twos), reps, like), "links")
+    linked = stored(common.components(found), "linked")
+    cut = placed.where("k > 1").select("id")
+    if not cut.isEmpty():
+        # prefix shingles of cut groups whose sets are still of several components
+        mine = shared.join(cut, "id").select("id", "size", "token").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mine = stored(mine, "mine")
+        still = mine.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("size").alias("load")).where("low <> high")
+        still = stored(still.select("token", F.greatest(F.lit(1), F.ceil(F.col("load") / CHUNK)).cast("int").alias("k")), "still")
+        more = common.met(mine, still, "token", n_posted).withColumn("c", part(F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        piece = F.struct(F.col("token").alias("by"), F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j")).alias("piece")
+        found = found.unionByName(stored(links_of(more.select("id", piece, (F.col("c") > F.col("other")).alias("second"), "component"), reps, like), "links"))
+        linked = stored(common.components(found), "linked")
+    # copies follow their representative
+    told = member.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("component"))
+    return sets.select("doc_id", "n"), linked.join(told, "id", "left_anti").unionByName(told)
+
+
+def similar_components(docs: DataFrame, shingle: int = SHINGLE, like: int = LIKE) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row for each row of docs."""
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_key"), "text")
+    sizes, linked = linked_rows(keyed.select(F.col("_key").alias("doc_id"), "text"), shingle, like)
+    linked = stored(linked, "classes")
+    # components are named by their least doc_id
+    named = stored(keyed.select("doc_id", F.col("_key").alias("id")).join(linked, "id").groupBy("component").agg(F.min("doc_id").alias("top")), "named")
+    tops = common.met(linked, named, "component", linked.count()).select(F.col("id").alias("_key"), F.lit(True).alias("_in"), "top")
+    out = keyed.select("doc_id", "_key").join(sizes.withColumnRenamed("doc_id", "_key"), "_key", "left").join(tops, "_key", "left")
+    return out.select("doc_id", F.coalesce("n", F.lit(0)).alias("n_shingles"), F.when(F.col("_in"), F.col("top")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from quaylark.llm import jaccard_join
 from quaylark.llm.jaccard_join import similar_components
 
@@ -8,12 +10,13 @@ SCHEMA = "doc_id long, text string, component_id string"
 
 
 def brute(rows):
+    """Sets and least ids by plain means; rows with a null doc_id come under None, so there may be one of them."""
     sets = {}
     for i, t, _ in rows:
         words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         found = {tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} - {()}
         sets[i] = sets.get(i, set()) | found
-    ids = sorted(sets, key=lambda x: -(1 << 62) if x is None else x)
+    ids = sorted(sets, key=lambda x: 1 << 62 if x is None else x)
     top = {i: i for i in ids}
 
     def find(i):
@@ -81,3 +84,54 @@ def test_empty_and_repeated_rows(spark):
     df = spark.createDataFrame([(4, "a b c d e f", ""), (4, "a b c d e f", ""), (7, "a b c d e f", "")], SCHEMA)
     assert sorted(map(tuple, similar_components(df).collect())) == [(4, 2, 4), (4, 2, 4), (7, 2, 4)]
     assert similar_components(df.limit(0)).collect() == []
+
+
+def got_of(spark, rows, parts=4):
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in similar_components(spark.createDataFrame(rows, SCHEMA).repartition(parts)).collect()}
+
+
+def test_hot_shingles_go_their_own_way(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT", 30)
+    monkeypatch.setattr(jaccard_join, "HOT_LEAST", 5)
+    line = " ".join(f"license{k}" for k in range(12))
+    rows = [(i, t if t is None else f"{t} {line}", x) for i, t, x in made(5, 150)]
+    hot, counts = jaccard_join.hot_shingles(spark.createDataFrame([r for r in rows if r[0] is not None], SCHEMA).repartition(3), 5)
+    assert len(hot) >= 8 and counts.max() >= 140 and (hot[1:] > hot[:-1]).all()
+    assert got_of(spark, rows) == brute(rows)
+    copies = rows + [(5000 + k, rows[3][1], "") for k in range(60)]
+    assert got_of(spark, copies) == brute(copies)
+
+
+def test_ids_with_a_stride_are_dealt_evenly():
+    for buckets in (31, 1000, 1024):
+        to = jaccard_join.common.mixed(np.arange(4000, dtype=np.int64) * buckets * 7) % np.uint64(buckets)
+        assert np.bincount(to.astype(int), minlength=buckets).max() < 3 * 4000 / buckets + 20
+
+
+def test_chain_of_rare_shingles(spark, monkeypatch):
+    # each text shares a few shingles with the next: one group, and few links in it
+    monkeypatch.setattr(jaccard_join, "LEAST_CHUNK", 200)
+    rng = random.Random(21)
+    rows, pieces = [], [" ".join(f"p{k}x{j}" for j in range(14)) for k in range(161)]
+    for k in range(160):
+        rows.append((k, " ".join([pieces[k], pieces[k + 1]] if k % 5 else [pieces[k], pieces[k]]), ""))
+    rows += [(500 + k, rows[k][1] + " end", "") for k in range(0, 160, 7)] + [(900 + k, " ".join(rng.sample(pieces, 2)), "") for k in range(40)]
+    got = got_of(spark, rows)
+    assert got == brute(rows)
+
+
+def test_rows_that_share_an_id(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(None, a, ""), (None, b, ""), (None, b, ""), (7, a + " more", ""), (9, b, ""), (9, a, ""), (None, "single words that nobody else has here", "")]
+    got = similar_components(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == sorted([(None, 26, 7), (None, 26, 9), (None, 26, 9), (7, 27, 7), (9, 26, 9), (9, 26, 7), (None, 3, None)], key=str)
+
+
+def test_very_long_texts_and_hubs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join.common, "HUB", 3)
+    long = " ".join(f"w{k}" for k in range(120_000))
+    rows = [(1, long, ""), (2, long + " end", ""), (3, "x " * 100_000, ""), (4, "x x x x x x", "")]
+    assert got_of(spark, rows) == {1: (119_996, 1), 2: (119_997, 1), 3: (1, 3), 4: (1, 3)}
+    edges = [(0, k) for k in range(1, 200)] + [(k, 1000) for k in range(150, 260)] + [(5000 + k, 5001 + k) for k in range(50)] + [(1, 1)]
+    found = {r.id: r.component for r in jaccard_join.common.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
+    assert found == {k: 0 for k in [*range(260), 1000]} | {5000 + k: 5000 for k in range(51)}

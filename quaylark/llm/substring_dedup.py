@@ -6,10 +6,16 @@ are repeats already, so a window that a third of all documents hold crosses the
 first occurrence over all blocks and answers with the start positions of the others. Each document then merges its
 repeated windows into maximal removal intervals.
 
-Bounded memory: blocks hold FLUSH_WORDS words, buckets BUCKET_BYTES of text. No Spark state is kept outside shuffles.
+Bounded memory: blocks hold FLUSH_WORDS words (or one longer text), buckets BUCKET_BYTES of text. No Spark state is kept
+outside shuffles.
 
-Null or empty texts have no words. Rows that share a doc_id (also null) count as one document and all get its result;
-a null doc_id is smaller than any other. Other columns are ignored.
+Windows are equal by their 61-bit hash; words are not compared. Of n different windows about n^2 / 2^62 pairs share a hash by
+chance: one pair at 2 * 10^9 windows, 10^5 windows of 10^13 (100 TB), each of which may cost one document 20 words.
+
+Null or empty texts have no words. Rows that share a doc_id (also null) count as one document and all get its result: a
+window is repeated there if it starts at another place in any row of that id before; a null doc_id is smaller than any
+other, and so is the smallest long, which is taken for null. Windows that start at the same place of one id are the same
+window. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -104,15 +110,16 @@ def _runs(values: np.ndarray) -> list[tuple[int, int]]:
 
 def pack_starts(ids: np.ndarray, starts: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
     """Start positions of many documents, packed into one row for each part of the documents."""
-    order = np.lexsort((starts, ids, ids % parts))
-    ids, starts = ids[order], starts[order]
+    part = common.mixed(ids) % np.uint64(parts)
+    order = np.lexsort((starts, ids, part))
+    ids, starts, part = ids[order], starts[order], part[order]
     out = []
-    for a, b in _runs(ids % parts):
+    for a, b in _runs(part):
         docs = np.array([(x, y - x) for x, y in _runs(ids[a:b])], np.int64)
         steps = np.diff(starts[a:b], prepend=0)
         steps[docs[:, 0]] = starts[a + docs[:, 0]]
         head = np.array([b - a, len(docs)], "<u4").tobytes()
-        out.append((int(ids[a] % parts), head + common.planes(np.diff(ids[a + docs[:, 0]], prepend=0), 8) + common.planes(docs[:, 1], 4) + common.planes(steps, 4)))
+        out.append((int(part[a]), head + common.planes(np.diff(ids[a + docs[:, 0]], prepend=0), 8) + common.planes(docs[:, 1], 4) + common.planes(steps, 4)))
     return out
 
 

@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
-from quaylark.llm.substring_dedup import remove_repeats
+import numpy as np
+
+from quaylark.llm.substring_dedup import pack_starts, remove_repeats
 
 SCHEMA = "doc_id long, text string, extra string"
 
@@ -42,3 +44,21 @@ def test_repeated_rows_and_empty(spark):
     df = spark.createDataFrame([(1, text, ""), (1, text, ""), (2, text, "")], SCHEMA)
     assert sorted((r.doc_id, r.n_removed) for r in remove_repeats(df).collect()) == [(1, 0), (1, 0), (2, 25)]
     assert remove_repeats(df.limit(0)).collect() == []
+
+
+def test_strided_ids_and_clashing_columns(spark):
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(30)}" for _ in range(400)]
+    rows = [(k * 2**20, " ".join(words[rng.randrange(200) :][: rng.randrange(60)]), "x") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept_text string").repartition(5)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in remove_repeats(df, 9).collect()} == brute(rows, 9)
+    parts = [to for to, _ in pack_starts(np.arange(1000, dtype=np.int64) * 31, np.zeros(1000, np.int64), 31)]
+    assert len(set(parts)) == 31
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"v{k}" for k in range(150_000))
+    rows = [(1, long, ""), (2, "a " + long, ""), (3, "z " * 100_000, "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in remove_repeats(df).collect()}
+    assert got == {1: (150_000, 0), 2: (150_001, 150_000), 3: (100_000, 99_999)}

@@ -28,11 +28,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One row of each group of alike rows: the one with the least doc_id (null is the least). Rows are compared by their own
     texts, whether or not others have their doc_id; rows with equal doc_id and text are one."""
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = stored(jaccard_join.similar_components(keyed.select(F.col("_key").alias("doc_id"), "text")), "alike")
-    ids = keyed.select("_key", "doc_id").distinct().join(found.select(F.col("doc_id").alias("_key"), "component_id").distinct(), "_key")
-    kept = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("least")).select(F.col("least._key").alias("_key"))
+    _, linked = jaccard_join.linked_rows(keyed.select(F.col("_key").alias("doc_id"), "text"))
+    linked = stored(linked.withColumnRenamed("id", "_key"), "alike")
+    ids = keyed.select("_key", "doc_id").join(linked, "_key")
+    kept = stored(ids.groupBy("component").agg(F.min(F.struct("doc_id", "_key")).alias("least")).select(F.col("least._key").alias("_key")), "kept")
+    gone = linked.join(kept, "_key", "left_anti").select("_key")
     order = Window.partitionBy("_key", "doc_id").orderBy(F.xxhash64(*docs.columns))
-    return keyed.join(kept, "_key", "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place", "_key")
+    return keyed.join(gone, "_key", "left_anti").withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place", "_key")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -132,8 +132,14 @@ class Filters:
         return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        """The language and its share of all languages' evidence."""
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """The language, its share of all languages' evidence, and its evidence: the share of the text's n-grams that it has,
+        corrected for false positives. 0: no language has any of them, and the first in order is a mere guess."""
         if not self.langs or text is None or not _LETTER.search(text):
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0
         n, hits = 0, np.zeros(len(self.langs))
         for piece in pieces(normal(text)):
             places = slots(grams(piece))
@@ -146,7 +152,7 @@ class Filters:
                     hits[at : at + 64] += [np.count_nonzero(found & np.uint64(1 << k)) for k in range(min(64, len(self.langs) - at))]
         share = np.clip((hits - n * self.false) / (1 - np.minimum(self.false, 0.99)), 0, None) / max(1, n)
         best = int(share.argmax())
-        return self.langs[best], float(share[best] / share.sum()) if share.sum() else 1 / len(self.langs)
+        return self.langs[best], float(share[best] / share.sum()) if share.sum() else 1 / len(self.langs), float(share[best])
 
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -167,20 +173,20 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int
 
 
 def identify(df: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
-    """df with lang_pred and score."""
+    """df with lang_pred, score and evidence."""
     spark = df.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(filters)  # 8 bytes x 2^SLOT_BITS for each 64 languages
-    kept = [c for c in df.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in df.columns if c not in ("lang_pred", "score", "evidence")]
     df, at = df.select(*kept), kept.index(text)
 
     def run(batches):
         found = held.value
         for batch in batches:
-            said = [found.predict(x.as_py()) for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())], [*kept, "lang_pred", "score"])
+            said = [found.judge(x.as_py()) for x in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64()), pa.array([x[2] for x in said], pa.float64())], [*kept, "lang_pred", "score", "evidence"])
 
-    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "lang_pred string, score double"]))
+    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "lang_pred string, score double, evidence double"]))
 
 
 def remainder(n: int):

@@ -86,3 +86,10 @@ def test_prediction_against_plain_sets(spark):
         share = brute_counts(filters, r.text)
         if lang != "und":
             assert lang == filters.langs[int(np.argmax(share))] and abs(score - max(share) / sum(share)) < 1e-9
+
+
+def test_evidence(spark):
+    filters = language.Filters.fit([("the cat and the hat " * 5, "en")] * 3)
+    assert filters.judge("the cat")[2] > 0.9 and filters.judge("жжж щщщ")[2] == 0.0
+    got = language.identify(spark.createDataFrame([("the hat", "e"), ("ЖЩ", "e")], "text string, evidence string"), filters).collect()
+    assert [r.evidence > 0 for r in got] == [True, False]

@@ -16,10 +16,11 @@ SECRET_MARK = "[SECRET]"
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told; a missing lang is filled in. Null texts and texts without a letter go."""
+    """Documents in which a language can be told; a missing lang is filled in. Null texts, texts without a letter and texts none of
+    whose n-grams any language has go."""
     filters = language.fit(docs)
     rows = language.identify(docs.select(F.struct(*(f"`{c}`" for c in docs.columns if c != "text")).alias("row"), "text"), filters)
-    rows = rows.where(F.col("lang_pred") != language.UNKNOWN)
+    rows = rows.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("evidence") > 0))
     told = {"text": F.col("text"), "lang": F.coalesce("row.lang", "lang_pred")}
     return rows.select(*(told.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 

@@ -43,7 +43,7 @@ Q_BYTES = 5
 #: Shared shingles of one task's trie; larger groups are cut.
 CHUNK = 1_500_000
 #: Shared shingles that are never worth a cut.
-LEAST_CHUNK = 20_000
+LEAST_CHUNK = 5_000
 #: Documents that a bucket may hold of one shingle by far, and rows of the sample that looks for such shingles: a thousandth of
 #: all within these bounds. A shingle of HOT_LEAST rows of the sample is the rarest that can be told.
 HOT, HOT_LEAST, SAMPLE, MOST_SAMPLE = 10_000, 20, 20_000, 1_000_000

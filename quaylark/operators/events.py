@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,25 +71,30 @@ def stories(items: DataFrame, look_back: int, threshold: float) -> DataFrame:
 
 
 def simulate(signals: DataFrame, keys: list[str], slots: int, hold: int, cost: float, capital: float = 100.0) -> DataFrame:
-    """Equity of a portfolio of `slots` equal slots: signals (t, priority, ret) enter in order of priority where a slot is free,
-    hold for `hold` sessions and compound. Slots are state from one session to the next, so each run (keys) is one group;
-    runs are dealt out in parallel. Returns keys, trades, value."""
+    """simulate_runs with the same slots, holding time and cost for all runs."""
+    return simulate_runs(signals.withColumns({"slots": F.lit(slots), "hold": F.lit(hold), "cost": F.lit(float(cost))}), keys, capital)
+
+
+def simulate_runs(signals: DataFrame, keys: list[str], capital: float = 100.0) -> DataFrame:
+    """Equity of portfolios of equal slots: signals (t, priority, ret) enter in order of priority where a slot is free, hold for
+    `hold` sessions and compound. Slots are state from one session to the next, so each run (keys, with slots, hold and cost) is
+    one group; runs are dealt out in parallel. No more than `slots` signals of a session can enter, so the rest is cut
+    before: a group has slots * sessions rows at most. Returns keys, trades, value."""
     ship(signals.sparkSession)
+    order = Window.partitionBy(*keys, "t").orderBy(F.desc("priority"), F.desc("ret"))
+    best = signals.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= F.col("slots"))
 
     def run(pdf):
-        free = [(-1, capital / slots)] * slots  # busy until, value
+        slots, hold, cost = int(pdf.slots.iloc[0]), int(pdf.hold.iloc[0]), float(pdf.cost.iloc[0])
+        free = [(-1, k, capital / slots) for k in range(slots)]  # busy until, slot, value
         trades = 0
-        for t, day in pdf.sort_values(["t", "priority", "ret"], ascending=[True, False, False]).groupby("t", sort=True):
-            order = sorted(range(slots), key=lambda s: (free[s][0], s))
-            for r in day.ret:
-                slot = next((s for s in order if free[s][0] < t), None)
-                if slot is None:
-                    break
-                order.remove(slot)
-                free[slot] = (t + hold, free[slot][1] * (1 + r - cost))
+        for t, r in pdf.sort_values(["t", "_k"])[["t", "ret"]].itertuples(index=False):
+            if free[0][0] < t:
+                until, k, value = heapq.heappop(free)
+                heapq.heappush(free, (t + hold, k, value * (1 + r - cost)))
                 trades += 1
-        return pdf.iloc[:1][keys].assign(trades=trades, value=sum(v for _, v in free))
+        return pdf.iloc[:1][keys].assign(trades=trades, value=sum(v for *_, v in sorted(free, key=lambda x: x[1])))
 
     kinds = {f.name: f.dataType.simpleString() for f in signals.schema}
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "trades long, value double"])
-    return signals.select(*keys, "t", "priority", "ret").groupBy(*keys).applyInPandas(run, schema)
+    return best.select(*keys, "t", "ret", "_k", "slots", "hold", "cost").groupBy(*keys).applyInPandas(run, schema)

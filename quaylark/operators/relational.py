@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaylark.operators import ordering
+
 
 def ordered_case(cases: list[tuple[Column, object]], other: object = None) -> Column:
     """The value of the first case that holds."""
@@ -82,17 +84,16 @@ def shrunk(rows: DataFrame, cell: list[str], parent: list[str], outcome: str, m:
 
 
 def winsorized(rows: DataFrame, train: Column, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Columns cut at quantiles of the training rows (one row, broadcast)."""
-    edges = rows.where(train).agg(*(F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"_{c}") for c in columns))
-    cut = {c: F.least(F.greatest(F.col(c), F.col(f"_{c}")[0]), F.col(f"_{c}")[1]) for c in columns}
-    return rows.join(F.broadcast(edges)).withColumns(cut).drop(*(f"_{c}" for c in columns))
+    """Columns cut at quantiles of the training rows."""
+    edges = ordering.quantile_row(rows.where(train), columns, [low, high])
+    return rows.withColumns({c: F.least(F.greatest(F.col(c), F.lit(edges[c][0])), F.lit(edges[c][1])) for c in columns if edges[c][0] is not None})
 
 
 def imputed(rows: DataFrame, train: Column, columns: list[str]) -> DataFrame:
     """Infinite values are unknown; unknown values become the training rows' median."""
     finite = rows.withColumns({c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)) for c in columns})
-    mids = finite.where(train).agg(*(F.percentile(c, F.lit(0.5)).alias(f"_{c}") for c in columns))
-    return finite.join(F.broadcast(mids)).withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(*(f"_{c}" for c in columns))
+    mids = ordering.quantile_row(finite.where(train), columns, [0.5])
+    return finite.withColumns({c: F.coalesce(c, F.lit(mids[c][0])) for c in columns})
 
 
 def stratified(rows: DataFrame, stratum: str, key: str, sizes: Column, seed: str) -> DataFrame:

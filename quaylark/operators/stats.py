@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quaylark.operators import ordering
 from quaylark.operators.series import mean_rank
 
 
@@ -36,9 +37,13 @@ def auc(rows: DataFrame, label: str, score: str, by: list[str] | None = None) ->
     """Area under the ROC curve by mean ranks: scores are counted first, so ranks run over distinct scores."""
     by = by or []
     counts = rows.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("_s")).agg(F.sum(F.col(label).cast("double")).alias("p"), F.count("*").cast("double").alias("n"))
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum(F.col("n") - F.col("p")).over(w), F.lit(0.0))
-    pairs = counts.withColumn("u", F.col("p") * (below + (F.col("n") - F.col("p")) / 2))
+    counts = counts.withColumn("_neg", F.col("n") - F.col("p"))
+    if by:
+        w = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_below", F.coalesce(F.sum("_neg").over(w), F.lit(0.0)))
+    else:
+        counts = ordering.running(counts, ["_s"], "_neg", "_below")
+    pairs = counts.withColumn("u", F.col("p") * (F.col("_below") + (F.col("n") - F.col("p")) / 2))
     return pairs.groupBy(*by).agg(F.try_divide(F.sum("u"), F.sum("p") * F.sum(F.col("n") - F.col("p"))).alias("auc"))
 
 
@@ -76,10 +81,17 @@ def kappa(rows: DataFrame, a: str, b: str, weights: str = "plain") -> DataFrame:
 
 def bh(rows: DataFrame, p: str, by: list[str] | None = None) -> DataFrame:
     """rows with q: Benjamini and Hochberg's values, a reverse running minimum of p m / rank."""
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    ranked = rows.withColumns({"_m": F.count(p).over(w), "_r": F.row_number().over(w.orderBy(p))})
-    least = F.min(F.col(p) * F.col("_m") / F.col("_r")).over(w.orderBy("_r").rowsBetween(0, Window.unboundedFollowing))
-    return ranked.withColumn("q", F.least(F.lit(1.0), least)).drop("_m", "_r")
+    if by:
+        w = Window.partitionBy(*by)
+        ranked = rows.withColumns({"_m": F.count(p).over(w), "_r": F.row_number().over(w.orderBy(p))})
+        least = F.min(F.col(p) * F.col("_m") / F.col("_r")).over(w.orderBy("_r").rowsBetween(0, Window.unboundedFollowing))
+        return ranked.withColumn("q", F.least(F.lit(1.0), least)).drop("_m", "_r")
+    # of equal p the last rank has the least value
+    counts = ordering.running(rows.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("_n")), [p], "_n", "_b")
+    total = counts.agg(F.sum("_n").alias("_m"))  # one row
+    valued = counts.join(F.broadcast(total)).withColumn("_x", F.col(p) * F.col("_m") / (F.col("_b") + F.col("_n")))
+    found = ordering.least_from(valued, [p], "_x", "q").select(p, F.least(F.lit(1.0), "q").alias("q"))
+    return rows.join(found, p, "left").select(*rows.columns, "q")
 
 
 def rank_ic(rows: DataFrame, date: str, score: str, outcome: str, least: int = 5) -> DataFrame:

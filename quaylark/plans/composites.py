@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from quaylark.functions import labels as L
 from quaylark.operators import models as M
+from quaylark.operators import ordering
 from quaylark.operators import series as S
 from quaylark.operators import stats as T
 from quaylark.plans.registry import query
 from quaylark.plans.series import _DENSE, _SESSIONS, _returns, dense_news, sessions
-from quaylark.plans.tables import DAILY, RETURNS, daily, news_calendar, table
+from quaylark.plans.tables import DAILY, RETURNS, cents, daily, news_calendar, table
 
 
 @query(f"""WITH {_SESSIONS}, f AS (SELECT session AS date, count(*) AS n, sum(score) AS tone, count(*) FILTER (score < 0) AS bad, count(DISTINCT ticker) AS members FROM s GROUP BY 1),
@@ -64,12 +65,17 @@ def step_backtest(spark, d):
     return s.groupBy("off").agg(F.count("*").alias("steps"), F.count_if("up").alias("held"), F.round(F.sum("step"), 5).alias("log_return"))
 
 
-@query("""WITH x AS (SELECT event_id, value, percent_rank() OVER (ORDER BY value) AS p FROM events) SELECT event_id, CASE WHEN value >= 150 THEN 'follow' WHEN value >= 60 THEN 'watch' WHEN value >= 10 THEN 'wait' ELSE 'avoid' END AS advice,
-printf('%.1f%%', round(value / 5, 1)) AS said FROM x WHERE event_id % 10 = 0""")
+_TENTHS = "(CAST(round(value * 100) AS BIGINT) + 25) // 50"
+
+
+@query(f"""SELECT event_id, CASE WHEN value >= 150 THEN 'follow' WHEN value >= 60 THEN 'watch' WHEN value >= 10 THEN 'wait' ELSE 'avoid' END AS advice,
+CAST({_TENTHS} // 10 AS VARCHAR) || '.' || CAST({_TENTHS} % 10 AS VARCHAR) || '%' AS said, CAST({_TENTHS} // 10 AS VARCHAR) || ',' || CAST({_TENTHS} % 10 AS VARCHAR) AS local FROM events""")
 def recommendation_text(spark, d):
-    v = F.col("value")
+    """Advice for every event with its value as a share of 500, in per cent and with a decimal comma; halves go up."""
+    v, tenths = F.col("value"), F.floor((cents("value") + 25) / 50).cast("long")
     advice = F.when(v >= 150, "follow").when(v >= 60, "watch").when(v >= 10, "wait").otherwise("avoid")
-    return table(spark, d, "events").select("event_id", advice.alias("advice"), F.format_string("%.1f%%", F.round(v / 5, 1)).alias("said"))
+    whole, part = F.floor(tenths / 10).cast("string"), (tenths % 10).cast("string")
+    return table(spark, d, "events").select("event_id", advice.alias("advice"), F.concat(whole, F.lit("."), part, F.lit("%")).alias("said"), F.concat(whole, F.lit(","), part).alias("local"))
 
 
 @query("""WITH a AS (SELECT user_id, round(avg(value), 6) AS tone FROM events GROUP BY 1), b AS (SELECT user_id, count(*) AS errors FROM events WHERE event_type = 'error' GROUP BY 1), c AS (SELECT user_id, max(value) AS best FROM events WHERE event_type = 'purchase' GROUP BY 1)
@@ -79,8 +85,8 @@ def unified_output(spark, d):
     a = e.groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("tone"))
     b = e.where("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("errors"))
     c = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.max("value").alias("best"))
-    rows = a.join(b, "user_id", "left").join(c, "user_id", "left").fillna(0, ["errors"]).withColumn("one", F.lit(1))
-    return rows.withColumn("place", F.round(S.rank_share("tone", ["one"]), 7)).drop("one")
+    rows = a.join(b, "user_id", "left").join(c, "user_id", "left").fillna(0, ["errors"])
+    return ordering.rank_share(rows, "tone", "place").withColumn("place", F.round("place", 7))
 
 
 @query("""WITH e AS (SELECT quantile_cont(l_extendedprice, 0.3333) AS a, quantile_cont(l_extendedprice, 0.6667) AS b FROM lineitem),
@@ -89,10 +95,10 @@ SELECT tercile, size, count(*) AS n, round(avg(v) / 1000, 4) AS mean FROM w GROU
 def heterogeneity(spark, d):
     """Groups by terciles of one measure and classes of another."""
     rows = table(spark, d, "lineitem")
-    edges = rows.agg(F.percentile("l_extendedprice", F.array(F.lit(0.3333), F.lit(0.6667))).alias("e"))
+    low, high = ordering.quantile_row(rows, ["l_extendedprice"], [0.3333, 0.6667])["l_extendedprice"]
     q, x = F.col("l_quantity"), F.col("l_extendedprice")
-    tercile = F.when(x <= F.col("e")[0], 1).when(x <= F.col("e")[1], 2).otherwise(3)
-    cut = rows.join(F.broadcast(edges)).select((q * x).alias("v"), tercile.alias("tercile"), F.when(q <= 10, "low").when(q <= 30, "middle").otherwise("high").alias("size"))
+    tercile = F.when(x <= low, 1).when(x <= high, 2).otherwise(3)
+    cut = rows.select((q * x).alias("v"), tercile.alias("tercile"), F.when(q <= 10, "low").when(q <= 30, "middle").otherwise("high").alias("size"))
     return cut.groupBy("tercile", "size").agg(F.count("*").alias("n"), F.round(F.avg("v") / 1000, 4).alias("mean")).where("n >= 40")
 
 

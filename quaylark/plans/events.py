@@ -124,12 +124,17 @@ def story_clusters(spark, d):
 
 
 @query("""WITH v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
-SELECT a.id, b.id AS near, round(list_cosine_similarity(a.e, b.e), 6) AS sim FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id WHERE a.id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.e, b.e), 9) DESC, b.id) <= 5""")
+SELECT a.id, b.id AS near, round(list_cosine_similarity(a.e, b.e), 6) AS sim FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id WHERE a.id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.e, b.e), 9) DESC, b.id) <= 5""")
 def embedding_topk(spark, d):
     u = unit_vectors(spark, d)
-    pairs = u.where("id % 50 = 0").join(u.select("key", F.col("id").alias("near"), F.col("vec").alias("v2")), "key").where("id <> near")
+    # the rows of a label are dealt to salts, each query goes to all of them: the nearest of a salt, then those of these
+    salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    asked = u.where("id % 100 = 0").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = u.select("key", F.col("id").alias("near"), F.col("vec").alias("v2"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
     dot = F.aggregate(F.zip_with("vec", "v2", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    ranked = pairs.withColumn("s", F.round(dot, 9)).withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "near")))
+    pairs = asked.join(rows, ["key", "salt"]).where("id <> near").select("id", "near", "salt", F.round(dot, 9).alias("s"))
+    best = pairs.withColumn("k", F.row_number().over(Window.partitionBy("id", "salt").orderBy(F.desc("s"), "near"))).where("k <= 5")
+    ranked = best.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "near")))
     return ranked.where("k <= 5").select("id", "near", F.round("s", 6).alias("sim"))
 
 
@@ -140,29 +145,56 @@ def group_mean_vector(spark, d):
     return m.select("label", "i", F.round(F.col("m") / F.sqrt(F.sum(F.col("m") * F.col("m")).over(Window.partitionBy("label"))), 6).alias("x"))
 
 
-def _signals(spark, d):
-    ret = S.ahead("r", 1, 5)
+#: Scenarios of the sweep: slots, sessions held, cost of a trade, least return that is a signal.
+SCENARIOS = {
+    "base": (10, 5, 0.004, 0.1), "no cost": (10, 5, 0.0, 0.1), "half cost": (10, 5, 0.002, 0.1), "high cost": (10, 5, 0.008, 0.1), "five slots": (5, 5, 0.004, 0.1), "twenty slots": (20, 5, 0.004, 0.1),
+    "hold 3": (10, 3, 0.004, 0.1), "hold 10": (10, 10, 0.004, 0.1), "low bar": (10, 5, 0.004, 0.05), "high bar": (10, 5, 0.004, 0.2), "no cost, hold 10": (10, 10, 0.0, 0.1),
+}
+
+
+def _signals(spark, d, scenarios):
+    """Signals of each scenario: a return above its bar, worth the return of the sessions it holds."""
     from quaylark.plans.series import _returns
 
-    rows = _returns(spark, d).withColumn("ret", F.exp(ret) - 1).where("ret IS NOT NULL AND r > 0.1")
-    return rows.select(F.col("trading_index").alias("t"), F.col("r").alias("priority"), "ret", "ticker")
+    rows, out = _returns(spark, d), None
+    for hold in sorted({s[1] for s in scenarios.values()}):
+        mine = spark.createDataFrame([(n, *s) for n, s in scenarios.items() if s[1] == hold], "scenario string, slots int, hold int, cost double, bar double")
+        found = rows.withColumn("ret", F.exp(S.ahead("r", 1, hold)) - 1).where("ret IS NOT NULL").select(F.col("trading_index").alias("t"), F.col("r").alias("priority"), "ret", "ticker")
+        found = found.join(F.broadcast(mine), F.col("priority") > F.col("bar"))  # a scenario a row
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _sweep_sql(scenarios, out):
+    holds = sorted({s[1] for s in scenarios.values()})
+    values = ", ".join(f"('{n}', {s[0]}, {s[1]}, {s[2]}e0, {s[3]}e0)" for n, s in scenarios.items())
+    ahead = ", ".join(f"CASE WHEN count(r) OVER h{h} = {h} THEN exp(sum(r) OVER h{h}) - 1 END AS f{h}" for h in holds)
+    windows = ", ".join(f"h{h} AS (PARTITION BY ticker ORDER BY trading_index ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)" for h in holds)
+    pick = " ".join(f"WHEN {h} THEN f{h}" for h in holds)
+    return f"""WITH RECURSIVE {RETURNS}, fw AS (SELECT ticker, trading_index, r, {ahead} FROM ret WINDOW {windows}),
+sc AS (SELECT * FROM (VALUES {values}) v(scenario, slots, hold, cost, bar)),
+sig AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY t, r DESC, ret DESC) AS n FROM (SELECT scenario, slots, hold, cost, trading_index AS t, r, CASE hold {pick} END AS ret FROM fw JOIN sc ON r > bar) WHERE ret IS NOT NULL),
+st AS (SELECT scenario, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS trades, list_transform(range(slots), lambda k: {{'u': CAST(-1 AS BIGINT), 'k': k, 'v': 100e0 / slots}}) AS s FROM sc WHERE scenario IN (SELECT scenario FROM sig)
+UNION ALL SELECT st.scenario, sig.n, st.trades + CASE WHEN s[1].u < t THEN 1 ELSE 0 END,
+  CASE WHEN s[1].u < t THEN list_sort(list_append(s[2:], {{'u': CAST(t + hold AS BIGINT), 'k': s[1].k, 'v': s[1].v * (1 + ret - cost)}})) ELSE s END
+FROM st JOIN sig ON sig.scenario = st.scenario AND sig.n = st.n + 1),
+e AS (SELECT scenario, trades, list_sum(list_transform(s, lambda x: x.v)) AS value FROM st QUALIFY row_number() OVER (PARTITION BY scenario ORDER BY n DESC) = 1) {out}"""
+
+
+_TWO = {"ten": (10, 5, 0.004, 0.1), "free": (10, 5, 0.0, 0.1)}
 
 
-@query()
+@query(_sweep_sql(_TWO, "SELECT scenario, trades, round(value, 6) AS value FROM e"))
 def portfolio_sim(spark, d):
-    runs = spark.createDataFrame([("ten", 0.004), ("free", 0.0)], "scenario string, cost double")
-    signals = _signals(spark, d)
-    parts = [E.simulate(signals.withColumn("scenario", F.lit(r.scenario)), ["scenario"], 10, 5, r.cost) for r in runs.collect()]
-    return parts[0].unionByName(parts[1]).select("scenario", "trades", F.round("value", 6).alias("value"))
+    return E.simulate_runs(_signals(spark, d, _TWO), ["scenario"]).select("scenario", "trades", F.round("value", 6).alias("value"))
 
 
-@query()
+@query(_sweep_sql(SCENARIOS, "SELECT scenario, trades, round(value, 6) AS value, value > (SELECT value FROM e WHERE scenario = 'base') AS better FROM e"))
 def robustness_sweep(spark, d):
-    """Two hundred random priorities of the same signals: one group a draw."""
-    draws = spark.range(200).select(F.col("id").alias("draw"))
-    rows = _signals(spark, d).join(F.broadcast(draws)).withColumn("priority", F.pmod(F.xxhash64("draw", "t", "ticker"), F.lit(1_000_003)).cast("double"))
-    out = E.simulate(rows, ["draw"], 10, 5, 0.004)
-    return out.agg(F.count("*").alias("draws"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("median"), F.round(F.min("value"), 6).alias("low"), F.round(F.max("value"), 6).alias("high"))
+    """The portfolio under eleven scenarios, and which of them beat the base."""
+    runs = E.simulate_runs(_signals(spark, d, SCENARIOS), ["scenario"])
+    base = runs.where("scenario = 'base'").select(F.col("value").alias("base"))  # one row
+    return runs.join(F.broadcast(base)).select("scenario", "trades", F.round("value", 6).alias("value"), (F.col("value") > F.col("base")).alias("better"))
 
 
 @query(f"WITH {RETURNS}, b AS (SELECT trading_index, avg(r) AS r FROM ret WHERE r IS NOT NULL GROUP BY 1) SELECT trading_index, round(sum(r) OVER (ORDER BY trading_index), 6) AS log_value FROM b")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quaylark.operators import ordering
 from quaylark.operators import relational as R
 from quaylark.plans.registry import query
-from quaylark.plans.tables import DAILY, NEWS, PRICES, RETURNS, daily, fixed, news, prices, table
+from quaylark.plans.tables import DAILY, NEWS, PRICES, RETURNS, cents, daily, news, prices, table
 
 GROUPS = {"click": "market", "error": "legal", "purchase": "firm"}
 
@@ -186,10 +187,10 @@ def first_unique_concat(spark, d):
     return rows.groupBy("user_id").agg(R.first_unique("event_id", "b", 8).alias("firsts"))
 
 
-@query("SELECT event_id, floor((value - avg(value) OVER (PARTITION BY user_id)) * 1e6 + 0.3) / 1e6 AS within, count(*) OVER (PARTITION BY user_id) AS n FROM events")
+@query("SELECT event_id, (c * count(*) OVER (PARTITION BY user_id) - sum(c) OVER (PARTITION BY user_id)) / (100e0 * count(*) OVER (PARTITION BY user_id)) AS within, count(*) OVER (PARTITION BY user_id) AS n FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS c FROM events)")
 def group_demean(spark, d):
     w = Window.partitionBy("user_id")
-    return table(spark, d, "events").select("event_id", fixed(F.col("value") - F.avg("value").over(w), 6).alias("within"), F.count("*").over(w).alias("n"))
+    return table(spark, d, "events").select("event_id", ((cents("value") * F.count("*").over(w) - F.sum(cents("value")).over(w)) / (100.0 * F.count("*").over(w))).alias("within"), F.count("*").over(w).alias("n"))
 
 
 @query("SELECT l_returnflag, round(sum(l_extendedprice * l_discount) / sum(l_extendedprice), 8) AS weighted FROM lineitem GROUP BY 1")
@@ -234,8 +235,9 @@ def sqrt_allocation(spark, d):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.3333), 6) AS low, round(quantile_cont(value, 0.5), 6) AS mid, round(quantile_cont(value, 0.6667), 6) AS high FROM events GROUP BY 1")
 def group_quantiles(spark, d):
-    q = F.percentile("value", F.array(*map(F.lit, (0.3333, 0.5, 0.6667))))
-    return table(spark, d, "events").groupBy("event_type").agg(q.alias("q")).select("event_type", *(F.round(F.col("q")[k], 6).alias(n) for k, n in enumerate(("low", "mid", "high"))))
+    q = ordering.quantiles(table(spark, d, "events"), "value", [0.3333, 0.5, 0.6667], ["event_type"])
+    cut = lambda share: F.round(F.max(F.when(F.col("share") == share, F.col("value"))), 6)
+    return q.groupBy("event_type").agg(cut(0.3333).alias("low"), cut(0.5).alias("mid"), cut(0.6667).alias("high"))
 
 
 @query("""WITH e AS (SELECT event_type, CASE WHEN value > 50 THEN 'good' ELSE 'bad' END AS tone, isodow(ts) AS dow, value FROM events)

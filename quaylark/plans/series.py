@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quaylark.operators import series as S
 from quaylark.plans.registry import query
-from quaylark.plans.tables import DAILY, NEWS, NEWS_CAL, PANEL, PRICES, RETURNS, daily, fixed, news, news_calendar, panel, prices
+from quaylark.plans.tables import DAILY, NEWS, NEWS_CAL, PANEL, PRICES, RETURNS, daily, news, news_calendar, panel, prices
 
 W = "PARTITION BY ticker ORDER BY trading_index"
 
@@ -58,12 +58,12 @@ def rolling_prev_window_z(spark, d):
 @query(f"""WITH {RETURNS}, m AS (SELECT *, close * volume / 1e6 AS value, CASE WHEN r = 0 THEN 1.0 WHEN r IS NOT NULL THEN 0.0 END AS still FROM ret),
   q AS (SELECT date, ticker, CASE WHEN count(still) OVER a >= 20 THEN avg(still) OVER a END AS share, CASE WHEN count(value) OVER a >= 20 THEN quantile_cont(value, 0.5) OVER a END AS mid
   FROM m WINDOW a AS ({W} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))
-SELECT date, ticker, floor(mid * 1e5 + 0.3) / 1e5 AS mid, CASE WHEN share IS NULL AND mid IS NULL THEN NULL ELSE coalesce(share > 0.3, false) OR coalesce(mid < 0.05, false) END AS illiquid FROM q""")
+SELECT date, ticker, round(mid, 10) AS mid, CASE WHEN share IS NULL AND mid IS NULL THEN NULL ELSE coalesce(share > 0.3, false) OR coalesce(mid < 0.05, false) END AS illiquid FROM q""")
 def rolling_median_liquidity(spark, d):
     rows = _returns(spark, d).withColumns({"value": F.col("close") * F.col("volume") / 1e6, "still": F.when(F.col("r") == 0, 1.0).when(F.col("r").isNotNull(), 0.0)})
     rows = rows.withColumns({"share": S.rolled(F.avg, "still", 60, 20, 1), "mid": S.rolled(S.median, "value", 60, 20, 1)})
     flag = F.coalesce(F.col("share") > 0.3, F.lit(False)) | F.coalesce(F.col("mid") < 0.05, F.lit(False))
-    return rows.select("date", "ticker", fixed(F.col("mid"), 5).alias("mid"), F.when(F.col("share").isNotNull() | F.col("mid").isNotNull(), flag).alias("illiquid"))
+    return rows.select("date", "ticker", F.round("mid", 10).alias("mid"), F.when(F.col("share").isNotNull() | F.col("mid").isNotNull(), flag).alias("illiquid"))
 
 
 @query(f"""WITH {RETURNS}, a AS (SELECT *, abs(r) / nullif(close * volume / 1e6, 0) AS x FROM ret)
@@ -165,10 +165,10 @@ def cs_rank_pct(spark, d):
     return prices(spark, d).select("date", "ticker", F.round(S.rank_share("close", ["date"]), 6).alias("share"))
 
 
-@query(f"WITH {DAILY} SELECT date, floor(CASE WHEN count(level) OVER w >= 40 THEN avg(level) OVER w END * 1e4 + 0.3) / 1e4 AS mean FROM daily WINDOW w AS (ORDER BY trading_index ROWS UNBOUNDED PRECEDING)")
+@query(f"WITH {DAILY} SELECT date, round(CASE WHEN count(level) OVER w >= 40 THEN avg(level) OVER w END, 4) AS mean FROM daily WINDOW w AS (ORDER BY trading_index ROWS UNBOUNDED PRECEDING)")
 def expanding_mean(spark, d):
     w = S.by(None).rowsBetween(Window.unboundedPreceding, 0)
-    return daily(spark, d).select("date", fixed(F.when(F.count("level").over(w) >= 40, F.avg("level").over(w)), 4).alias("mean"))
+    return daily(spark, d).select("date", F.round(F.when(F.count("level").over(w) >= 40, F.avg("level").over(w)), 4).alias("mean"))
 
 
 @query("""WITH u AS (SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1 HAVING count(*) >= 2),

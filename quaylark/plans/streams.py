@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quaylark.plans.events import _STORY
 from quaylark.plans.registry import query
 from quaylark.streaming import streams as R
 
@@ -52,7 +53,7 @@ def stream_outcomes_later(spark, d):
     return R.collected(R.outcomes_later(items, later, "event_id", "3 hours", "1 day").select("event_id", "outcome"), "later", {})
 
 
-@query()
+@query(f"WITH stories AS ({_STORY}) SELECT id, root FROM stories")
 def stream_stories(spark, d):
     """Stories by state over a stream; a test holds them against the batch operator."""
     schema = spark.read.parquet(f"{d}/embeddings.parquet").schema

@@ -11,9 +11,9 @@ from quaylark.operators import series
 CENTRE = 50
 
 
-def fixed(value: Column, digits: int) -> Column:
-    """A mean cut to `digits` decimals off the halves, where engines that sum in another order would round apart."""
-    return F.floor(value * 10.0**digits + 0.3) / 10.0**digits
+def cents(column: str) -> Column:
+    """An amount in whole hundredths, so that sums don't depend on their order."""
+    return F.round(F.col(column) * 100).cast("long")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,15 +26,16 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def news_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Week days of the news, but for the last: sessions."""
-    days = table(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("date")).distinct().where(F.weekday("date") < 5)
-    return series.calendar(days.where(F.col("date") < F.lit("2024-01-30").cast("date")))
+    """Sessions: week days of the news, but for its last day, whose late news has no session yet."""
+    days = table(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("date")).distinct()
+    last = days.agg(F.max("date").alias("last"))  # one row
+    return series.calendar(days.join(F.broadcast(last), F.col("date") < F.col("last")).where(F.weekday("date") < 5).select("date"))
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """date, ticker, close, volume from line items by brand."""
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("ticker")), "l_partkey")
-    rows = rows.groupBy(F.col("l_shipdate").cast("date").alias("date"), "ticker").agg(fixed(F.sum("l_extendedprice") / F.sum("l_quantity"), 6).alias("close"), F.sum("l_quantity").alias("volume"))
+    rows = rows.groupBy(F.col("l_shipdate").cast("date").alias("date"), "ticker").agg((F.sum(cents("l_extendedprice")) / (100.0 * F.sum("l_quantity"))).alias("close"), F.sum("l_quantity").alias("volume"))
     return rows
 
 
@@ -46,17 +47,17 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """date, trading_index, level (mean order price), volume (orders) for each order date."""
-    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(fixed(F.avg("o_totalprice"), 4).alias("level"), F.count("*").alias("volume"))
+    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg((F.sum(cents("o_totalprice")) / (100.0 * F.count("*"))).alias("level"), F.count("*").alias("volume"))
     return rows.join(F.broadcast(series.calendar(rows.select("date"))), "date")
 
 
 NEWS = "news AS (SELECT event_id, ts, user_id AS ticker, event_type, round(value - 50, 2) AS score FROM events)"
-NEWS_CAL = "ncal AS (SELECT d AS date, row_number() OVER (ORDER BY d) - 1 AS trading_index FROM (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events) WHERE isodow(d) < 6 AND d < DATE '2024-01-30')"
-PRICES = "prices AS (SELECT CAST(l_shipdate AS DATE) AS date, p_brand AS ticker, floor(sum(l_extendedprice) / sum(l_quantity) * 1e6 + 0.3) / 1e6 AS close, sum(l_quantity) AS volume FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
+NEWS_CAL = "ncal AS (SELECT d AS date, row_number() OVER (ORDER BY d) - 1 AS trading_index FROM (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events) WHERE isodow(d) < 6 AND d < (SELECT max(CAST(ts AS DATE)) FROM events))"
+PRICES = "prices AS (SELECT CAST(l_shipdate AS DATE) AS date, p_brand AS ticker, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / (100e0 * sum(l_quantity)) AS close, sum(l_quantity) AS volume FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
 PANEL = (
     PRICES
     + ", cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS trading_index FROM (SELECT DISTINCT date FROM prices))"
     + ", panel AS (SELECT cal.date, cal.trading_index, t.ticker, p.close, p.volume FROM cal CROSS JOIN (SELECT DISTINCT ticker FROM prices) t LEFT JOIN prices p ON p.date = cal.date AND p.ticker = t.ticker)"
 )
 RETURNS = PANEL + ", ret AS (SELECT *, ln(close) - lag(ln(close)) OVER (PARTITION BY ticker ORDER BY trading_index) AS r FROM panel)"
-DAILY = "days AS (SELECT CAST(o_orderdate AS DATE) AS date, floor(avg(o_totalprice) * 1e4 + 0.3) / 1e4 AS level, count(*) AS volume FROM orders GROUP BY 1), daily AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS trading_index FROM days)"
+DAILY = "days AS (SELECT CAST(o_orderdate AS DATE) AS date, sum(CAST(round(o_totalprice * 100) AS BIGINT)) / (100e0 * count(*)) AS level, count(*) AS volume FROM orders GROUP BY 1), daily AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS trading_index FROM days)"

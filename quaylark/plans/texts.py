@@ -71,30 +71,45 @@ def window_filter(spark, d):
 _CONCEPTS = {"insult": ["idiot", "moron", "clown"], "secret": ["token", "password"], "licence": ["license", "mit license", "apache license"]}
 
 
-@query()
+def _named(words: str) -> str:
+    return rf"regexp_matches(low, '(^|[^\p{{L}}\p{{N}}_])({words})($|[^\p{{L}}\p{{N}}_])')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, lower(text) AS low FROM documents),
+c AS (SELECT doc_id, concat_ws(',', CASE WHEN {_named('idiot|moron|clown')} THEN 'insult' END, CASE WHEN {_named('license|mit license|apache license')} THEN 'licence' END, CASE WHEN {_named('token|password')} THEN 'secret' END) AS concepts FROM d)
+SELECT doc_id, concepts FROM c WHERE concepts <> ''""")
 def keyword_tagging(spark, d):
     return X.tag(table(spark, d, "documents").select("doc_id", "text"), "text", _CONCEPTS).where(F.size("tags") > 0).select("doc_id", F.array_join(F.array_sort(F.map_keys("tags")), ",").alias("concepts"))
 
 
-@query()
+def _exact(word: str) -> str:
+    return _named(word).replace("(low,", "(text,")
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, lower(text) AS low FROM documents),
+m AS (SELECT doc_id, 'TOK' AS entity, CASE WHEN NOT (contains(low, 'the') OR contains(low, 'de')) THEN NULL WHEN {_named('token')} THEN 'token' WHEN {_exact('TOK')} THEN 'TOK' END AS matched FROM d
+UNION ALL SELECT doc_id, 'IDI', CASE WHEN {_named('idiot')} THEN 'idiot' WHEN {_exact('IDI')} THEN 'IDI' END FROM d
+UNION ALL SELECT doc_id, 'LIC', CASE WHEN {_named('mit license')} THEN 'mit license' WHEN {_named('license')} THEN 'license' WHEN {_exact('LIC')} THEN 'LIC' END FROM d
+UNION ALL SELECT doc_id, 'DUP', CASE WHEN {_exact('DUP')} THEN 'DUP' END FROM d)
+SELECT doc_id, entity, matched FROM m WHERE matched IS NOT NULL""")
 def entity_match(spark, d):
     aliases = {"TOK": ["token"], "IDI": ["idiot", "clown"], "LIC": ["mit license", "license"], "DUP": ["clown"]}
     return X.match_entities(table(spark, d, "documents"), "doc_id", "text", aliases, {"TOK": ["the", "de"]})
 
 
-@query("""WITH d AS (SELECT doc_id, lang, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents WHERE lang = 'en'), n AS (SELECT count(*) AS n FROM d),
+@query(r"""WITH d AS (SELECT doc_id, lang, list_filter(string_split_regex(lower(text), '[^\p{L}]+'), lambda x: x <> '') AS w FROM documents), n AS (SELECT count(*) AS n FROM d),
 t AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS w FROM d) GROUP BY 1, 2), f AS (SELECT w, count(*) AS df FROM t GROUP BY 1 HAVING count(*) >= 5),
 x AS (SELECT doc_id, t.w, (1 + ln(tf)) * (ln((1.0 + n) / (1 + df)) + 1) AS x FROM t JOIN f ON f.w = t.w, n), l AS (SELECT doc_id, sqrt(sum(x * x)) AS l FROM x GROUP BY 1)
 SELECT x.doc_id, x.w AS term, round(x / l, 6) AS weight FROM x JOIN l ON l.doc_id = x.doc_id QUALIFY row_number() OVER (PARTITION BY x.doc_id ORDER BY round(x / l, 9) DESC, x.w) <= 3""")
 def tfidf_top_terms(spark, d):
     from quaylark.operators.models import tfidf
 
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_remove(F.split(F.lower("text"), "[^a-z]+"), "").alias("terms"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_remove(F.split(F.lower("text"), r"[^\p{L}]+"), "").alias("terms"))
     x = tfidf(docs, 5).withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("weight", 9)), "term")))
     return x.where("k <= 3").select(F.col("id").alias("doc_id"), "term", F.round("weight", 6).alias("weight"))
 
 
-@query("""WITH d AS (SELECT doc_id, source, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents WHERE n_chars < 400), n AS (SELECT count(*) AS n FROM d),
+@query(r"""WITH d AS (SELECT doc_id, source, list_filter(string_split_regex(lower(text), '[^\p{L}]+'), lambda x: x <> '') AS w FROM documents), n AS (SELECT count(*) AS n FROM d),
 t AS (SELECT doc_id, source, w, count(*) AS tf FROM (SELECT doc_id, source, unnest(w) AS w FROM d) GROUP BY 1, 2, 3), f AS (SELECT w, count(*) AS df FROM t GROUP BY 1 HAVING count(*) >= 2),
 x AS (SELECT doc_id, source, t.w, (1 + ln(tf)) * (ln((1.0 + n) / (1 + df)) + 1) AS x FROM t JOIN f ON f.w = t.w, n), l AS (SELECT *, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS v FROM x),
 c AS (SELECT a.doc_id, b.doc_id AS other, sum(a.v * b.v) AS c FROM l a JOIN l b ON a.source = b.source AND a.w = b.w AND b.doc_id < a.doc_id AND b.doc_id >= a.doc_id - 200 GROUP BY 1, 2)
@@ -102,7 +117,7 @@ SELECT d.doc_id, round(1 - coalesce(max(c), 0), 5) AS novelty FROM d LEFT JOIN c
 def novelty_cosine(spark, d):
     from quaylark.operators.models import tfidf
 
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", F.array_remove(F.split(F.lower("text"), "[^a-z]+"), "").alias("terms"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", F.array_remove(F.split(F.lower("text"), r"[^\p{L}]+"), "").alias("terms"))
     x = tfidf(docs, 2).join(docs.select("id", "source"), "id")
     # the band of 200 before is met by buckets of 200
     a = x.withColumn("b", F.floor(F.col("id") / 200))

@@ -28,11 +28,19 @@ def write_report(df: DataFrame, path: str, most: int = 10_000) -> int:
     return len(rows)
 
 
+def small(df: DataFrame, most: int) -> list:
+    """The rows of a table that a report shows whole: more than `most` are an error, none is left out."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report shows at most {most} rows")
+    return rows
+
+
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A table of at most `most` rows as Markdown."""
+    """A table as Markdown; more than `most` rows are an error."""
     cell = lambda x: "" if x is None else f"{x:.4f}".rstrip("0").rstrip(".") if isinstance(x, float) else str(x).replace("|", "\\|").replace("\n", " ")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(map(cell, r)) + " |" for r in df.limit(most).collect()])
+    return "\n".join(lines + ["| " + " | ".join(map(cell, r)) + " |" for r in small(df, most)])
 
 
 def append_new(df: DataFrame, path: str, keys: list[str]) -> int:
@@ -60,6 +68,6 @@ def write_routed(df: DataFrame, route: Column, path: str) -> None:
 
 
 def dashboard(template: str, payload: dict[str, DataFrame], path: str, most: int = 5000) -> None:
-    """A page: the template with /*DATA*/ replaced by the JSON of small tables."""
-    data = {name: [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"))).limit(most).collect()] for name, df in payload.items()}
+    """A page: the template with /*DATA*/ replaced by the JSON of tables of at most `most` rows; more are an error."""
+    data = {name: [json.loads(r[0]) for r in small(df.select(F.to_json(F.struct("*"))), most)] for name, df in payload.items()}
     Path(path).write_text(template.replace("/*DATA*/", json.dumps(data, ensure_ascii=False).replace("</", "<\\/")), encoding="utf-8")

@@ -76,10 +76,25 @@ def middle_cut(text: Column, most: int = 12000, head: int = 9000, mark: str = "\
 
 
 def digest(columns: list[str]) -> Column:
-    """SHA-256 of a JSON object of the columns in order of their names."""
+    """SHA-256 of a JSON object of the columns in order of their names; keys of maps in order too."""
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
 
 
+def sorted_map(value: Column) -> Column:
+    """A map with its keys in order, so that equal maps have one JSON."""
+    return F.map_from_entries(F.array_sort(F.map_entries(value)))
+
+
+def hours_between(later: Column, earlier: Column) -> Column:
+    return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / 3.6e9
+
+
+def within(ts: Column, first: str, end: str, zone: str) -> Column:
+    """first <= ts < end, with both given in a time zone's clock; ts is in UTC."""
+    at = lambda s: F.to_utc_timestamp(F.lit(s).cast("timestamp"), zone).cast("timestamp_ntz")
+    return (ts >= at(first)) & (ts < at(end))
+
+
 def scope(targets: Column) -> Column:
     """The single target, MULTI or GENERAL."""
     return F.when(F.size(targets) == 1, targets[0]).when(F.size(targets) > 1, "MULTI").otherwise("GENERAL")
@@ -149,12 +164,33 @@ def tag(df: DataFrame, text: str, concepts: dict[str, list[str]], out: str = "ta
     return df.withColumn(out, F.pandas_udf(run, "map<string,array<string>>")(text))
 
 
-def window_filter(text: Column, words: list[str], must: list[str], width: int = 1000, step: int = 500, least: int = 3) -> Column:
-    """Some window of the text holds `least` of the words and one of must."""
-    low = F.lower(text)
-    spans = F.transform(F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(step)), lambda i: F.substring(low, i + 1, F.lit(width)))
+def windows(text: Column, width: int, step: int) -> Column:
+    """Overlapping windows of the text in lower case."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(step)), lambda i: F.substring(F.lower(text), i + 1, F.lit(width)))
+
+
+def _any(span: Column, words: list[str]) -> Column:
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(span, w))
+
+
+def window_filter(text: Column, words: list[str], must: list[str], width: int = 1000, step: int = 500, least: int = 3, lead: int | None = None) -> Column:
+    """Some window of the text holds `least` of the words and one of must; with lead, its first characters must hold one too."""
     count = lambda s: F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(s, w)))
-    return F.exists(spans, lambda s: (count(s) >= least) & F.exists(F.array(*map(F.lit, must)), lambda w: F.contains(s, w)))
+    found = F.exists(windows(text, width, step), lambda s: (count(s) >= least) & _any(s, must))
+    return found if lead is None else found & _any(F.lower(F.substring(text, 1, lead)), must)
+
+
+def legal_filter(text: Column, subject: list[str], legal: list[str], authority: list[str], strong: list[str], council: list[str], width: int = 2500, step: int = 1250) -> Column:
+    """Some window holds the subject and a legal term, or an authority with a strong rule; a council's term counts as legal only
+    beside an authority."""
+    return F.exists(windows(text, width, step), lambda s: _any(s, subject) & (_any(s, legal) | (_any(s, authority) & (_any(s, strong) | _any(s, council)))))
+
+
+def codes(text: Column, known: list[str], pattern: str = r"\b[A-Z0-9]{3}\b") -> tuple[Column, Column]:
+    """Known and unknown codes of a text, sorted."""
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
+    listed = F.array(*map(F.lit, known))
+    return F.array_intersect(found, listed), F.array_except(found, listed)
 
 
 def match_entities(df: DataFrame, key: str, text: str, aliases: dict[str, list[str]], ambiguous: dict[str, list[str]]) -> DataFrame:

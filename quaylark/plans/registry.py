@@ -21,7 +21,7 @@ def query(oracle: str | None = None):
 
 
 def _load() -> None:
-    from quaylark.plans import composites, events, models, relational, series, statistics, streams, texts  # noqa: F401
+    from quaylark.plans import composites, contexts, decisions, events, models, outputs, relational, series, statistics, streams, texts  # noqa: F401
 
 
 _load()

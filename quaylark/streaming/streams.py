@@ -7,7 +7,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -97,6 +100,71 @@ def checkpoint_of(spark: SparkSession, name: str, settings: dict) -> str:
     return f"{shared_dir(spark)}/streams/{name}-{run_id(settings)}"
 
 
+class SettingsChanged(RuntimeError):
+    """A run was to go on with other settings than it began with."""
+
+
+def settle(folder: str, settings: dict) -> str:
+    """The run's id. The first run writes its settings into folder; a later run with other settings is refused."""
+    path, said = Path(folder) / "settings.json", json.dumps(settings, sort_keys=True)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    try:
+        with open(path, "x", encoding="utf-8") as file:
+            file.write(said)
+    except FileExistsError:
+        if path.read_text(encoding="utf-8") != said:
+            raise SettingsChanged(f"{folder} was begun with other settings") from None
+    return run_id(settings)
+
+
+@contextmanager
+def single_writer(folder: str):
+    """Hold the writer's lock of a folder; a second writer is refused while it is held."""
+    lock = Path(folder) / "writer.lock"
+    lock.parent.mkdir(parents=True, exist_ok=True)
+    try:
+        handle = os.open(lock, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+    except FileExistsError:
+        raise RuntimeError(f"another writer holds {lock}") from None
+    try:
+        os.write(handle, str(os.getpid()).encode())
+        os.close(handle)
+        yield
+    finally:
+        lock.unlink(missing_ok=True)
+
+
+def fetch_page(get: Callable[[str], tuple[int, bytes]], url: str, most: int = 8 << 20, tries: int = 3, wait: Callable[[int], None] = lambda k: None) -> tuple[str, str]:
+    """(status, html) of a page: ok, gone, too large, challenge or failed. get gives a status and at most the bytes it read; wait is
+    called before each request, so it throttles and backs off. A page wrapped in JSON is taken out of it."""
+    status = "failed"
+    for k in range(tries):
+        wait(k)
+        try:
+            code, data = get(url)
+        except OSError:
+            continue
+        if code in (404, 410):
+            return "gone", ""
+        if code >= 400:
+            continue
+        if len(data) > most:
+            return "too large", ""
+        text = data.decode("utf-8", "replace")
+        if text.lstrip().startswith("{"):
+            try:
+                wrapped = json.loads(text)
+                text = next((v for key in ("html", "content", "data") if isinstance(v := wrapped.get(key), str)), "")
+            except ValueError:
+                text = ""
+        low = text[:4000].lower()
+        if any(mark in low for mark in ("captcha", "just a moment", "checking your browser")):
+            status = "challenge"
+            continue
+        return "ok", text
+    return status, ""
+
+
 def run_available(rows: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Work off what there is now in batches, then stop; a second run goes on where this one ended."""
     query = rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()

@@ -8,6 +8,9 @@ begins, so one frequent word lends its stem nothing. Tokens whose log-odds don't
 negative weight of its own has that; another the greater of its own and that of its longest stem with a weight. Every word of a
 passage costs 1 / LENGTH, the rate at which passages of LENGTH words end.
 
+In a text, too, a word with a positive weight counts once for each pair of neighbours: lines that are said again and again
+are no more toxic than said once.
+
 Passages: one linear scan finds all maximal scoring segments of weights less cost (Ruzzo and Tompa). A segment is significant
 when its expected number in a random clean text of this length, K n exp(-lambda S), is under EXPECTED (Karlin and Altschul);
 texts of fewer than 1 / K words, where the formula would count less than one segment in all, are judged like such a text.
@@ -112,8 +115,16 @@ class Model:
         return found
 
     def scores(self, words: list[bytes]) -> np.ndarray:
+        """Weight less cost of each word; a word that speaks for toxicity does so once between the same neighbours."""
         get, weight = self.table.get, self.weight
-        return np.fromiter((x if (x := get(w)) is not None else weight(w) for w in words), np.float64, len(words)) - 1 / LENGTH
+        out = np.fromiter((x if (x := get(w)) is not None else weight(w) for w in words), np.float64, len(words)) - 1 / LENGTH
+        seen, last = set(), len(words) - 1
+        for i in np.flatnonzero(out > 0).tolist():
+            said = (words[i - 1] if i else None, words[i], words[i + 1] if i < last else None)
+            if said in seen:
+                out[i] = -1 / LENGTH
+            seen.add(said)
+        return out
 
     def passages(self, words: list[bytes]) -> list[tuple[int, int, float]]:
         """Significant segments with their evidence."""

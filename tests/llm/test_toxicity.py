@@ -88,7 +88,10 @@ def test_query_against_plain_scorer(spark):
     got = {r.doc_id: r for r in toxicity.op7_toxicity(spark, "/root/testdata/sf0.001").collect()}
     for i, text in rows:
         words = toxicity.words_of(text)
-        scores = [model.weight(w) - 1 / toxicity.LENGTH for w in words]
+        scores, seen = [], set()
+        for a, w, b in zip([None, *words], words, [*words[1:], None]):
+            scores.append((0 if (a, w, b) in seen and model.weight(w) > 1 / toxicity.LENGTH else model.weight(w)) - 1 / toxicity.LENGTH)
+            seen.add((a, w, b))
         evidence = 0.0
         for a, b, s in brute_segments(scores) if len(scores) < 150 else toxicity.segments(np.array(scores)):
             expected = max(1, model.k * len(words)) * np.exp(-model.lam * s)

@@ -12,8 +12,9 @@
    all sets below are linked with it already. Only links that join two components are put out.
 4. A group that is too much for a task is cut twice: by a hash, and by each set's rarest shared prefix shingle, so a set is
    sent twice. That links near copies. What is left are prefix shingles whose sets are still of several components: those
-   sets meet, a trie for each such shingle, so a set is sent at most once for each shingle of its prefix, however large the
-   group. (Sets of one such shingle that are too much for a task are cut by a hash and met chunk by chunk.)
+   sets meet, a trie for each such shingle, so a set is sent about once for each shingle of its prefix, however large the
+   group. The sets of one such shingle that are of its greatest component needn't meet one another: they are cut by a hash, and
+   the others go to each part; the others meet chunk by chunk.
 
 Shingles are equal by the low 40 bits of a 61-bit hash within its bucket and the bucket's number, some 45 to 60 bits in all;
 words are not compared. Two sets agree by chance on one shingle of theirs with a probability of about n * m / 2^45 at
@@ -426,11 +427,19 @@ def linked_rows(docs: DataFrame, shingle: int = SHINGLE, like: int = LIKE) -> tu
         # prefix shingles of cut groups whose sets are still of several components
         mine = shared.join(cut, "id").select("id", "size", "token").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mine = stored(mine, "mine")
-        still = mine.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("size").alias("load")).where("low <> high")
-        still = stored(still.select("token", F.greatest(F.lit(1), F.ceil(F.col("load") / CHUNK)).cast("int").alias("k")), "still")
-        more = common.met(mine, still, "token", n_posted).withColumn("c", part(F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        piece = F.struct(F.col("token").alias("by"), F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j")).alias("piece")
-        found = found.unionByName(stored(links_of(more.select("id", piece, (F.col("c") > F.col("other")).alias("second"), "component"), reps, like), "links"))
+        # of each, the component with the most sets and the others: sets of one component needn't meet, so those of the greatest
+        # are dealt to chunks and the others go to each of these; the others meet among themselves, chunk by chunk
+        share = mine.groupBy("token", "component").agg(F.count("*").alias("c"), F.sum("size").alias("load"))
+        share = share.groupBy("token").agg(F.max(F.struct("c", "component", "load")).alias("most"), F.sum("load").alias("load"), F.count("*").alias("kinds")).where("kinds > 1")
+        cuts = lambda load, size: F.greatest(F.lit(1), F.ceil(load / size)).cast("int")
+        still = stored(share.select("token", F.col("most.component").alias("main"), cuts(F.col("most.load"), bound).alias("k"), cuts(F.col("load") - F.col("most.load"), CHUNK).alias("k2")), "still")
+        more = common.met(mine, still, "token", n_posted).withColumn("other", F.col("component") != F.col("main"))
+        to = F.when(F.col("other"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array(part(F.col("k"))))
+        mains = more.withColumn("c", F.explode(to)).select("id", F.struct(F.col("token").alias("by"), F.col("c").alias("i"), F.lit(-1).alias("j")).alias("piece"), F.col("other").alias("second"), "component")
+        rest = more.where("other").withColumn("c", part(F.col("k2"))).withColumn("c2", F.explode(F.sequence(F.lit(0), F.col("k2") - 1)))
+        piece = F.struct(F.xxhash64(F.lit("rest"), "token").alias("by"), F.least("c", "c2").alias("i"), F.greatest("c", "c2").alias("j")).alias("piece")
+        rest = rest.select("id", piece, (F.col("c") > F.col("c2")).alias("second"), "component")
+        found = found.unionByName(stored(links_of(mains.unionByName(rest), reps, like), "links"))
         linked = stored(common.components(found), "linked")
     # copies follow their representative
     told = member.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("component"))

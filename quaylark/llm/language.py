@@ -6,7 +6,7 @@ once. A text's n-grams give a popcount for each language, from which the languag
 taken away; the largest share of n-grams decides.
 
 Training reads a bounded sample: at most SAMPLE labelled documents of each language, those with the least hash of doc_id and
-text, so that a language never vanishes behind others, nor behind a group of copies. An n-gram belongs to a language when its
+text (equal rows are one), so that a language never vanishes behind others, nor behind a group of copies. An n-gram belongs to a language when its
 rate there is at least KEEP of its highest rate in any language, so that n-grams that merely stray into a language don't blur it.
 
 Texts are lower-cased; everything but letters and their marks counts as a space; n-grams are of bytes within words with one
@@ -23,7 +23,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaylark.session import ship
@@ -162,14 +162,18 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int
     """Filters from at most `sample` rows of each language of labelled that have text and lang."""
     by = ["doc_id"] if "doc_id" in labelled.columns else []
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(*by, text).alias("h"))
-    # languages with more rows are first thinned by their hash, so that few rows are ranked
-    many = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).where(F.col("n") > 4 * sample).collect()}
-    if many:
-        bar = F.coalesce(F.create_map(*(F.lit(x) for lang, n in many.items() for x in (lang, int(2 * sample / n * (1 << 30)))))[F.col("l")], F.lit(1 << 30))
-        rows = rows.where(F.pmod("h", F.lit(1 << 30)) < bar)
-    place = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
-    chosen = rows.withColumn("place", place).where(F.col("place") <= sample).orderBy("l", "place").select("t", "l")
-    return Filters.fit((r.t, r.l) for r in chosen.toLocalIterator())
+
+    def upto(bars: dict[str, int], value):
+        return value <= F.coalesce(F.create_map(*(F.lit(x) for pair in bars.items() for x in pair))[F.col("l")], F.lit((1 << 63) - 1)) if bars else F.lit(True)
+
+    # languages with more rows are first thinned by their hash, so that few hashes are ranked (a number for each language and row)
+    sizes = rows.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).where(F.col("n") > 4 * sample).collect()
+    rows = rows.where(upto({r["l"]: int(2 * sample / r["n"] * (1 << 30)) for r in sizes}, F.pmod("h", F.lit(1 << 30))))
+    hashes: dict[str, list[int]] = {}
+    for r in rows.select("l", "h").distinct().collect():
+        hashes.setdefault(r["l"], []).append(r["h"])
+    chosen = rows.where(upto({x: sorted(found)[sample - 1] for x, found in hashes.items() if len(found) > sample}, F.col("h")))
+    return Filters.fit([(r["t"], r["l"]) for r in chosen.groupBy("l", "h").agg(F.min("t").alias("t")).collect()])
 
 
 def identify(df: DataFrame, filters: Filters, text: str = "text") -> DataFrame:

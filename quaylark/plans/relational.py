@@ -311,11 +311,11 @@ def selective_threshold_prior_folds(spark, d):
     return q.join(F.broadcast(cut), "fold").groupBy("fold", F.round("cut", 6).alias("cut_"), "cut").agg(F.count_if(F.col("a") >= F.col("cut")).alias("taken")).select("fold", F.col("cut_").alias("cut"), "taken")
 
 
-@query(f"WITH {_QUARTERS}, v AS (SELECT fold, quantile_cont(score, 0.75) AS cut FROM q WHERE o_orderkey % 2 = 0 GROUP BY 1) SELECT q.fold, count(*) FILTER (score >= cut) AS taken, floor(avg(score) FILTER (score >= cut) * 1e6 + 0.3) / 1e6 AS mean FROM q JOIN v ON v.fold = q.fold WHERE o_orderkey % 2 = 1 GROUP BY 1")
+@query(f"WITH {_QUARTERS}, v AS (SELECT fold, quantile_cont(score, 0.75) AS cut FROM q WHERE o_orderkey % 2 = 0 GROUP BY 1) SELECT q.fold, count(*) FILTER (score >= cut) AS taken, sum(CAST(round(score * 1e5) AS BIGINT)) FILTER (score >= cut) / (1e5 * count(*) FILTER (score >= cut)) AS mean FROM q JOIN v ON v.fold = q.fold WHERE o_orderkey % 2 = 1 GROUP BY 1")
 def own_val_threshold(spark, d):
     q = _quarters(spark, d)
     v = q.where("o_orderkey % 2 = 0").groupBy("fold").agg(F.percentile("score", F.lit(0.75)).alias("cut"))
-    return q.where("o_orderkey % 2 = 1").join(v, "fold").groupBy("fold").agg(F.count_if(F.col("score") >= F.col("cut")).alias("taken"), fixed(F.avg(F.when(F.col("score") >= F.col("cut"), F.col("score"))), 6).alias("mean"))
+    return q.where("o_orderkey % 2 = 1").join(v, "fold").groupBy("fold").agg(F.count_if(F.col("score") >= F.col("cut")).alias("taken"), F.try_divide(F.sum(F.when(F.col("score") >= F.col("cut"), F.round(F.col("score") * 1e5).cast("long"))), 1e5 * F.count_if(F.col("score") >= F.col("cut"))).alias("mean"))
 
 
 @query("SELECT source, doc_id, round(least(5, n) * 1.0 / n, 8) AS pi FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR) || 's1')) AS k, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE k <= 5")

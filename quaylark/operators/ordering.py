@@ -52,6 +52,26 @@ def quantiles(rows: DataFrame, column: str, shares: list[float], by: list[str] |
     return near.select(*by, "share", (F.col("_low") + (F.coalesce("_high", "_low") - F.col("_low")) * (F.col("_h") - F.floor("_h"))).alias("value"))
 
 
+def earlier_quantile(rows: DataFrame, group: str, column: str, share: float) -> DataFrame:
+    """group, value: for each group but the first, the exact quantile, interpolated, of the known values of all groups before it.
+
+    Values are counted by group and dealt by ranges. The counts of each range and group tell in which ranges a group's quantile
+    lies; only the values of these are looked at for it."""
+    counts = ranged(rows.where(F.col(column).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(column).alias("_v")).agg(F.count("*").alias("_n")), ["_v"])
+    sums = counts.groupBy("_p", "_g").agg(F.sum("_n").alias("_s"))  # a row for each range and group
+    later = F.broadcast(rows.select(F.col(group).alias("_l")).distinct())
+    ends = sums.join(later, F.col("_g") < F.col("_l")).groupBy("_l", "_p").agg(F.sum("_s").alias("_s"))
+    of = Window.partitionBy("_l")
+    ends = ends.withColumns({"_b": F.sum("_s").over(of.orderBy("_p")) - F.col("_s"), "_h": F.lit(share) * (F.sum("_s").over(of) - 1)})
+    near = ends.where((F.col("_b") <= F.floor("_h") + 1) & (F.floor("_h") < F.col("_b") + F.col("_s"))).select("_l", "_p", "_b", "_h")
+    values = counts.join(F.broadcast(near), "_p").where(F.col("_g") < F.col("_l")).groupBy("_l", "_p", "_b", "_h", "_v").agg(F.sum("_n").alias("_n"))
+    values = values.withColumn("_b", F.col("_b") + F.sum("_n").over(Window.partitionBy("_l", "_p").orderBy("_v")) - F.col("_n"))
+    at = F.floor("_h")
+    holds = lambda k: (F.col("_b") <= k) & (k < F.col("_b") + F.col("_n"))
+    found = values.groupBy(F.col("_l").alias(group), "_h").agg(F.max(F.when(holds(at), F.col("_v"))).alias("_low"), F.max(F.when(holds(at + 1), F.col("_v"))).alias("_high"))
+    return found.select(group, (F.col("_low") + (F.coalesce("_high", "_low") - F.col("_low")) * (F.col("_h") - F.floor("_h"))).alias("value"))
+
+
 def quantile_row(rows: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float | None]]:
     """The quantiles of some columns, as numbers: a row for each column and share."""
     out = {}

@@ -243,8 +243,10 @@ def group_quantiles(spark, d):
 @query("""WITH e AS (SELECT event_type, CASE WHEN value > 50 THEN 'good' ELSE 'bad' END AS tone, isodow(ts) AS dow, value FROM events)
 SELECT event_type, tone, CAST(dow AS INTEGER) AS dow, count(*) AS n, round(avg(value), 6) AS mean FROM e GROUP BY GROUPING SETS ((event_type), (tone), (dow), (event_type, tone), ()) HAVING count(*) >= 60""")
 def grouping_sets_by_type(spark, d):
-    table(spark, d, "events").select("event_type", F.when(F.col("value") > 50, "good").otherwise("bad").alias("tone"), (F.weekday("ts") + 1).alias("dow"), "value").createOrReplaceTempView("_sets")
-    return spark.sql("SELECT event_type, tone, dow, count(*) AS n, round(avg(value), 6) AS mean FROM _sets GROUP BY GROUPING SETS ((event_type), (tone), (dow), (event_type, tone), ()) HAVING count(*) >= 60")
+    t, tone, dow = F.col("event_type"), F.col("tone"), F.col("dow")
+    rows = table(spark, d, "events").select("event_type", F.when(F.col("value") > 50, "good").otherwise("bad").alias("tone"), (F.weekday("ts") + 1).alias("dow"), "value")
+    out = rows.groupingSets([[t], [tone], [dow], [t, tone], []], t, tone, dow).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    return out.where("n >= 60")
 
 
 @query("""WITH c AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type = 'purchase') AS purchase FROM events GROUP BY 1)
@@ -298,24 +300,22 @@ def _quarters(spark, d):
 @query(f"WITH {_QUARTERS}, v AS (SELECT fold + 1 AS fold, quantile_cont(score, 0.9) AS cut FROM q GROUP BY 1) SELECT q.fold, count(*) AS n, count(*) FILTER (score >= cut) AS taken FROM q JOIN v ON v.fold = q.fold GROUP BY q.fold")
 def val_threshold_topq(spark, d):
     q = _quarters(spark, d)
-    v = q.groupBy((F.col("fold") + 1).alias("fold")).agg(F.percentile("score", F.lit(0.9)).alias("cut"))
-    return q.join(v, "fold").groupBy("fold").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= F.col("cut")).alias("taken"))
+    v = ordering.quantiles(q, "score", [0.9], ["fold"]).select((F.col("fold") + 1).alias("fold"), F.col("value").alias("cut"))
+    return q.join(F.broadcast(v), "fold").groupBy("fold").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= F.col("cut")).alias("taken"))
 
 
 @query(f"WITH {_QUARTERS}, f AS (SELECT DISTINCT fold FROM q), c AS (SELECT f.fold, quantile_cont(abs(score - 200), 0.8) AS cut FROM f JOIN q ON q.fold < f.fold GROUP BY f.fold) SELECT q.fold, round(cut, 6) AS cut, count(*) FILTER (abs(score - 200) >= cut) AS taken FROM q JOIN c ON c.fold = q.fold GROUP BY 1, 2")
 def selective_threshold_prior_folds(spark, d):
     q = _quarters(spark, d).withColumn("a", F.abs(F.col("score") - 200))
-    # folds are a few dozen rows; each value meets the folds after it, and only counts of values are kept
-    folds = q.select(F.col("fold").alias("later")).distinct()
-    cut = q.groupBy("fold", "a").agg(F.count("*").alias("n")).join(F.broadcast(folds), F.col("fold") < F.col("later")).groupBy(F.col("later").alias("fold")).agg(F.percentile("a", F.lit(0.8), F.col("n")).alias("cut"))
+    cut = ordering.earlier_quantile(q, "fold", "a", 0.8).withColumnRenamed("value", "cut")  # a row for each quarter
     return q.join(F.broadcast(cut), "fold").groupBy("fold", F.round("cut", 6).alias("cut_"), "cut").agg(F.count_if(F.col("a") >= F.col("cut")).alias("taken")).select("fold", F.col("cut_").alias("cut"), "taken")
 
 
 @query(f"WITH {_QUARTERS}, v AS (SELECT fold, quantile_cont(score, 0.75) AS cut FROM q WHERE o_orderkey % 2 = 0 GROUP BY 1) SELECT q.fold, count(*) FILTER (score >= cut) AS taken, sum(CAST(round(score * 1e5) AS BIGINT)) FILTER (score >= cut) / (1e5 * count(*) FILTER (score >= cut)) AS mean FROM q JOIN v ON v.fold = q.fold WHERE o_orderkey % 2 = 1 GROUP BY 1")
 def own_val_threshold(spark, d):
     q = _quarters(spark, d)
-    v = q.where("o_orderkey % 2 = 0").groupBy("fold").agg(F.percentile("score", F.lit(0.75)).alias("cut"))
-    return q.where("o_orderkey % 2 = 1").join(v, "fold").groupBy("fold").agg(F.count_if(F.col("score") >= F.col("cut")).alias("taken"), F.try_divide(F.sum(F.when(F.col("score") >= F.col("cut"), F.round(F.col("score") * 1e5).cast("long"))), 1e5 * F.count_if(F.col("score") >= F.col("cut"))).alias("mean"))
+    v = ordering.quantiles(q.where("o_orderkey % 2 = 0"), "score", [0.75], ["fold"]).select("fold", F.col("value").alias("cut"))
+    return q.where("o_orderkey % 2 = 1").join(F.broadcast(v), "fold").groupBy("fold").agg(F.count_if(F.col("score") >= F.col("cut")).alias("taken"), F.try_divide(F.sum(F.when(F.col("score") >= F.col("cut"), F.round(F.col("score") * 1e5).cast("long"))), 1e5 * F.count_if(F.col("score") >= F.col("cut"))).alias("mean"))
 
 
 @query("SELECT source, doc_id, round(least(5, n) * 1.0 / n, 8) AS pi FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR) || 's1')) AS k, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE k <= 5")

@@ -206,3 +206,16 @@ def test_crawl_stops():
     assert [r["url"] for r in got] == ["a", "b", "c"] and state["next"] == 6
     assert [r["url"] for r in streams.crawl(lambda p: [{"url": u} for u in pages.get(p, [])], seen, state)] == ["z"]
     assert streams.run_id({"a": 1, "b": 2}) == streams.run_id({"b": 2, "a": 1}) != streams.run_id({"a": 2, "b": 2})
+
+
+def test_quantiles_of_earlier_groups(spark):
+    from quaylark.operators import ordering
+
+    rng = random.Random(9)
+    rows = [(g, rng.choice([None, 1.0, 2.0, 2.0, float(rng.randrange(50)), rng.random()])) for g in (1, 2, 2, 2, 3, 5, 5, 9) for _ in range(20)]
+    known = lambda g: [v for k, v in rows if k < g and v is not None]
+    for share in (0.0, 0.37, 0.8, 1.0):
+        got = {r.g: r.value for r in ordering.earlier_quantile(spark.createDataFrame(rows, "g long, v double"), "g", "v", share).collect()}
+        assert got.keys() == {2, 3, 5, 9}
+        assert all(abs(x - np.quantile(known(g), share)) < 1e-12 for g, x in got.items())
+    assert ordering.earlier_quantile(spark.createDataFrame(rows, "g long, v double").limit(0), "g", "v", 0.5).collect() == []

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quaylark.operators import ordering
 from quaylark.operators import relational as R
 from quaylark.plans.registry import query
-from quaylark.plans.tables import DAILY, NEWS, PRICES, RETURNS, cents, daily, news, prices, table
+from quaylark.plans.tables import DAILY, NEWS, PRICES, RETURNS, cents, daily, news, prices, rounded, table
 
 GROUPS = {"click": "market", "error": "legal", "purchase": "firm"}
 
@@ -43,7 +43,7 @@ def dim_lookup_default(spark, d):
 
 @query("SELECT event_id, CASE WHEN z IS NULL THEN NULL WHEN abs(z) > 0.5 THEN CAST(sign(z) AS INTEGER) ELSE 0 END AS class, CASE WHEN z IS NOT NULL THEN CASE WHEN z > 1 THEN 1e0 ELSE 0e0 END END AS big FROM (SELECT event_id, nullif(round((value - 50) / 40, 3), 0.5) AS z FROM events)")
 def three_class_flags(spark, d):
-    rows = table(spark, d, "events").withColumn("z", F.nullif(F.round((F.col("value") - 50) / 40, 3), F.lit(0.5)))
+    rows = table(spark, d, "events").withColumn("z", F.nullif(rounded((F.col("value") - 50) / 40, 3), F.lit(0.5)))
     return rows.select("event_id", R.three_classes(F.col("z")).alias("class"), R.flag(F.col("z") > 1, F.col("z")).alias("big"))
 
 

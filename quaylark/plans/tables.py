@@ -16,6 +16,15 @@ def cents(column: str) -> Column:
     return F.round(F.col(column) * 100).cast("long")
 
 
+def rounded(value: Column, places: int) -> Column:
+    """A double rounded as the SQL does it: value * 10^places to a whole number, halves away from zero, over 10^places. Spark's
+    own round looks at the shortest decimal form, so it takes 0.5005 (which times 1000 is below 500.5) for a half."""
+    scale = F.lit(10.0**places)
+    x = F.abs(value) * scale
+    near = (F.floor(x) + (x - F.floor(x) >= 0.5).cast("int")) / scale
+    return F.when(x < float(1 << 52), F.signum(value) * near + F.lit(0.0)).otherwise(value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

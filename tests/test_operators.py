@@ -219,3 +219,22 @@ def test_quantiles_of_earlier_groups(spark):
         assert got.keys() == {2, 3, 5, 9}
         assert all(abs(x - np.quantile(known(g), share)) < 1e-12 for g, x in got.items())
     assert ordering.earlier_quantile(spark.createDataFrame(rows, "g long, v double").limit(0), "g", "v", 0.5).collect() == []
+
+
+def events_of(spark, path, rows):
+    """A folder with a table of events (event_id, user_id, event_type, value) on 2024-01-02 and the days after."""
+    df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double")
+    df.withColumns({"ts": F.lit("2024-01-02 09:00:00").cast("timestamp_ntz"), "props": F.lit("{}")}).write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_classes_of_scores_that_are_halves_in_decimal_form_only(spark, tmp_path):
+    from quaylark.plans import registry
+
+    # (29.98 - 50) / 40 is -0.5005, but times 1000 it is above -500.5; 70.02 likewise
+    d = events_of(spark, tmp_path / "d", [(1, 1, "view", 29.98), (2, 1, "view", 70.02), (3, 1, "view", 90.02), (4, 1, "view", None), (5, 1, "view", float("nan"))])
+    rows = {r.event_id: (r["class"], r.big) for r in registry.QUERIES["three_class_flags"](spark, d).where("event_id < 5").collect()}
+    import duckdb
+
+    sql = duckdb.sql(registry.ORACLES["three_class_flags"].replace("FROM events", f"FROM read_parquet('{d}/events.parquet/*.parquet')")).fetchall()
+    assert rows == {k: (c, b) for k, c, b in sql if k < 5} and rows[1] == (0, 0.0)

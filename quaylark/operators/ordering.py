@@ -5,6 +5,7 @@ from what the ranges before it hold."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,31 @@ def running(rows: DataFrame, order: list[str], value: str, out: str = "before")
     return dealt.withColumn(out, own).join(F.broadcast(offsets), "_p").withColumn(out, F.col(out) + F.col("_o")).drop("_p", "_o")
 
 
+def ordered_sums(rows: DataFrame, key: str, order: str, value: str, out: str = "added") -> DataFrame:
+    """key, out: the known values of each key added one by one in order, so the sum of doubles is the same wherever the rows lie. Rows
+    are sorted and stream by; none are held."""
+
+    def fold(batches):
+        at, total = None, 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, values = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            found = []
+            for k, v in zip(keys, values):
+                if k != at:
+                    if at is not None:
+                        found.append((at, total))
+                    at, total = k, 0.0
+                total += v
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], batch.schema.field(0).type), pa.array([t for _, t in found], pa.float64())], [key, out])
+        if at is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at], batch.schema.field(0).type), pa.array([total], pa.float64())], [key, out])
+
+    dealt = rows.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, order, value).select(key, value)
+    return dealt.mapInArrow(fold, f"{key} {dict(rows.dtypes)[key]}, {out} double")
+
+
 def least_from(rows: DataFrame, order: list[str], value: str, out: str = "least") -> DataFrame:
     """rows (distinct in `order`) with out: the least value of the row and all after it."""
     dealt = ranged(rows, order)

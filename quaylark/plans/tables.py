@@ -25,6 +25,14 @@ def rounded(value: Column, places: int) -> Column:
     return F.when(x < float(1 << 52), F.signum(value) * near + F.lit(0.0)).otherwise(value)
 
 
+def ratio(above: Column, below: Column, places: int) -> Column:
+    """above / below (whole numbers, below > 0) rounded to places, exact halves away from zero."""
+    scaled = F.abs(above).cast("decimal(38,0)") * F.lit(2 * 10**places).cast("decimal(19,0)")
+    n = below.cast("decimal(19,0)")
+    units = F.call_function("div", scaled + n, 2 * n).cast("double")
+    return F.signum(above.cast("double")) * units / F.lit(10.0**places) + F.lit(0.0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

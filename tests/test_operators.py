@@ -238,3 +238,52 @@ def test_classes_of_scores_that_are_halves_in_decimal_form_only(spark, tmp_path)
 
     sql = duckdb.sql(registry.ORACLES["three_class_flags"].replace("FROM events", f"FROM read_parquet('{d}/events.parquet/*.parquet')")).fetchall()
     assert rows == {k: (c, b) for k, c, b in sql if k < 5} and rows[1] == (0, 0.0)
+
+
+def test_places_of_means_that_are_halves(spark, tmp_path):
+    from quaylark.plans import registry
+
+    # 32 values with a mean of 55.0771875 exactly: SQL's sum of doubles decides; users without a known value come last
+    low = [(k, 1, "view", v) for k, v in enumerate([0.07, 10.33, 1762.07 - 10.33] + [0.0] * 28 + [0.4 - 0.07])]
+    d = events_of(spark, tmp_path / "d", low + [(40, 2, "view", 60.0), (41, 3, "error", None), (42, 4, "view", 60.0)])
+    rows = {r.user_id: r for r in registry.QUERIES["unified_output"](spark, d).collect()}
+    assert {k: (r.tone, r.place, r.errors) for k, r in rows.items()} == {1: (rows[1].tone, 0.25, 0), 2: (60.0, 0.625, 0), 4: (60.0, 0.625, 0), 3: (None, 1.0, 1)}
+
+
+def test_sums_of_doubles_in_order_whatever_the_partitions(spark):
+    from quaylark.operators import ordering
+
+    rng = random.Random(4)
+    rows = [(k % 7, k, round(rng.uniform(-100, 500), 2)) for k in range(5000)]
+    want = dict.fromkeys(range(7), 0.0)
+    for g, _, v in rows:
+        want[g] += v
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g long, k long, v double").repartition(5)
+    assert {r.g: r.added for r in ordering.ordered_sums(df, "g", "k", "v").collect()} == want
+
+
+def test_places_of_halves_are_those_of_sql_in_one_thread(spark, tmp_path):
+    import duckdb
+
+    from quaylark.plans import registry
+
+    rng, rows = random.Random(5), []
+    for u in range(200):  # 32 values each: every second mean is a half of the sixth place
+        rows += [(u * 32 + k, u, "error" if k % 9 == 0 else "purchase", round(rng.uniform(-100, 500), 2)) for k in range(32)]
+    d = events_of(spark, tmp_path / "d", rows)
+    spark.read.parquet(f"{d}/events.parquet").repartition(5).write.parquet(f"{tmp_path}/e/events.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE TABLE events AS SELECT * FROM read_parquet('{d}/events.parquet/*.parquet') ORDER BY event_id")
+    want = {r[0]: tuple(r) for r in con.execute(registry.ORACLES["unified_output"]).fetchall()}
+    got = {r.user_id: (r.user_id, r.tone, r.errors, r.best, r.place) for r in registry.QUERIES["unified_output"](spark, f"{tmp_path}/e").collect()}
+    assert got == want
+
+
+def test_exact_halves_don_t_depend_on_the_order_of_rows(spark):
+    from quaylark.plans.tables import ratio, rounded
+
+    rows = spark.createDataFrame([(1762470, 32000, 6), (-1, 200000, 5), (-3, 200000, 5), (43644, 32000, 5), (0, 7, 5)], "a long, b long, k int")
+    got = [(r.x, r.y) for r in rows.select(ratio(F.col("a"), F.col("b"), 6).alias("x"), ratio(F.col("a"), F.col("b"), 5).alias("y")).collect()]
+    assert got == [(55.077188, 55.07719), (-5e-06, -1e-05), (-1.5e-05, -2e-05), (1.363875, 1.36388), (0.0, 0.0)]
+    assert spark.createDataFrame([(0.5005,), (-2.5,), (None,), (1e300,)], "x double").select(rounded(F.col("x"), 3).alias("x")).collect() == [(0.5,), (-2.5,), (None,), (1e300,)]

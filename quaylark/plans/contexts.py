@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from quaylark.functions import text as X
 from quaylark.operators import series as S
 from quaylark.plans.registry import query
-from quaylark.plans.series import _DENSE, _SESSIONS, W, _returns, dense_news, sessions
-from quaylark.plans.tables import DAILY, PANEL, RETURNS, daily, news_calendar, panel, table
+from quaylark.plans.series import _DENSE, _SESSIONS, W, _returns, sessions
+from quaylark.plans.tables import DAILY, PANEL, RETURNS, cents, daily, news_calendar, panel, ratio, rounded, table
 
 
 @query(f"WITH {PANEL}, f AS (SELECT ticker, min(trading_index) FILTER (close IS NOT NULL) AS a FROM panel GROUP BY 1) SELECT date, panel.ticker, trading_index - a < 20 AS warm FROM panel JOIN f ON f.ticker = panel.ticker WHERE trading_index >= a")
@@ -124,11 +124,14 @@ def attention_z(spark, d):
 SELECT dense.date, ticker, n, CAST(heat AS BIGINT) AS heat, named, round(n * 1e0 / greatest(heat, 1), 8) AS share, round(dense.tone - (z.tone - dense.tone) / greatest(heat - n, 1), 5) AS tone_gap FROM dense JOIN z ON z.date = dense.date WHERE n > 0""")
 def news_heat_context(spark, d):
     """A ticker's news beside that of all others in its session."""
-    rows = dense_news(spark, d)
-    t = rows.groupBy("date").agg(F.sum("n").alias("heat"), F.count_if(F.col("n") > 0).alias("named"), F.sum("tone").alias("all_tone"))
-    out = rows.where("n > 0").join(F.broadcast(t), "date")  # a row a session
-    one = F.lit(1)
-    return out.select("date", "ticker", "n", "heat", "named", F.round(F.col("n") / F.greatest("heat", one), 8).alias("share"), F.round(F.col("tone") - (F.col("all_tone") - F.col("tone")) / F.greatest(F.col("heat") - F.col("n"), one), 5).alias("tone_gap"))
+    # scores are whole hundredths: their sums, and the gap up to its last rounding, are whole numbers that no order of rows changes
+    known = sessions(spark, d).where("session IS NOT NULL AND ticker IS NOT NULL")
+    rows = known.groupBy(F.col("session").alias("date"), "ticker").agg(F.count("*").alias("n"), F.coalesce(F.sum(cents("score")), F.lit(0)).alias("tone"))
+    t = rows.groupBy("date").agg(F.sum("n").alias("heat"), F.count("*").alias("named"), F.sum("tone").alias("all_tone"))
+    out = rows.join(F.broadcast(t), "date")  # a row a session
+    others = F.greatest(F.col("heat") - F.col("n"), F.lit(1))
+    gap = ratio(F.col("tone") * others - (F.col("all_tone") - F.col("tone")), 100 * others, 5)
+    return out.select("date", "ticker", "n", "heat", "named", rounded(F.col("n") / F.col("heat"), 8).alias("share"), gap.alias("tone_gap"))
 
 
 @query(f"""WITH {_SESSIONS}, l AS (SELECT date FROM ncal ORDER BY trading_index DESC LIMIT 5), s5 AS (SELECT s.* FROM s JOIN l ON l.date = s.session), ty AS (SELECT event_type, count(*) AS c FROM s5 GROUP BY 1)

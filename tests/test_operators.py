@@ -287,3 +287,20 @@ def test_exact_halves_don_t_depend_on_the_order_of_rows(spark):
     got = [(r.x, r.y) for r in rows.select(ratio(F.col("a"), F.col("b"), 6).alias("x"), ratio(F.col("a"), F.col("b"), 5).alias("y")).collect()]
     assert got == [(55.077188, 55.07719), (-5e-06, -1e-05), (-1.5e-05, -2e-05), (1.363875, 1.36388), (0.0, 0.0)]
     assert spark.createDataFrame([(0.5005,), (-2.5,), (None,), (1e300,)], "x double").select(rounded(F.col("x"), 3).alias("x")).collect() == [(0.5,), (-2.5,), (None,), (1e300,)]
+
+
+def test_news_heat_gap_of_exact_halves(spark, tmp_path):
+    from fractions import Fraction
+    from math import floor
+
+    from quaylark.plans import registry
+
+    rng = random.Random(6)
+    scores = [rng.randrange(-10000, 40000) for _ in range(321)]  # one item a ticker: of 320 others, an eighth of the gaps are halves
+    d = events_of(spark, tmp_path / "d", [(k, k, "view", (5000 + s) / 100) for k, s in enumerate(scores)] + [(900, 900, "view", 50.0)])
+    later = F.when(F.col("event_id") == 900, F.lit("2024-01-05 09:00:00").cast("timestamp_ntz")).otherwise(F.col("ts"))
+    spark.read.parquet(f"{d}/events.parquet").withColumn("ts", later).write.parquet(f"{tmp_path}/e/events.parquet")
+    gaps = [Fraction(321 * s - sum(scores), 32000) * 10**5 for s in scores]
+    want = {k: (1 if g >= 0 else -1) * floor(abs(g) + Fraction(1, 2)) / 1e5 for k, g in enumerate(gaps)}
+    assert sum(g.denominator == 2 for g in gaps) > 20
+    assert {r.ticker: r.tone_gap for r in registry.QUERIES["news_heat_context"](spark, f"{tmp_path}/e").collect()} == want

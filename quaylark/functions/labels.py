@@ -18,11 +18,13 @@ from quaylark.session import ship
 ANSWER = "event_type string, score double, size string, confidence double, reason string"
 
 
-def requests(rows: DataFrame, key: str, text: str, target: str) -> DataFrame:
-    """request, said, targets, keys: rows of equal text are one request with the union of their targets."""
-    cut = rows.withColumn("said", X.middle_cut(F.col(text)))
-    grouped = cut.groupBy("said").agg(F.array_sort(F.collect_set(target)).alias("targets"), F.array_sort(F.collect_list(key)).alias("keys"))
-    return grouped.withColumn("request", F.sha2(F.to_json(F.struct("said", "targets")), 256))
+def requests(rows: DataFrame, key: str, text: str, target: str, most: int | None = 12000) -> DataFrame:
+    """request, said, targets, keys: rows of equal whole text are one request with the union of their targets. said, what the
+    model is shown, is the text without its middle where it is longer than `most`; None: the whole text."""
+    whole = F.col(text)
+    grouped = rows.groupBy(whole.alias("_whole")).agg(F.array_sort(F.collect_set(target)).alias("targets"), F.array_sort(F.collect_list(key)).alias("keys"))
+    said = F.col("_whole") if most is None else X.middle_cut(F.col("_whole"), most, most * 3 // 4)
+    return grouped.select(said.alias("said"), "targets", "keys", F.sha2(F.to_json(F.struct(F.col("_whole").alias("said"), "targets")), 256).alias("request"))
 
 
 def prompt(said: str, targets: list[str], wrong: str | None = None) -> str:

@@ -304,3 +304,13 @@ def test_news_heat_gap_of_exact_halves(spark, tmp_path):
     want = {k: (1 if g >= 0 else -1) * floor(abs(g) + Fraction(1, 2)) / 1e5 for k, g in enumerate(gaps)}
     assert sum(g.denominator == 2 for g in gaps) > 20
     assert {r.ticker: r.tone_gap for r in registry.QUERIES["news_heat_context"](spark, f"{tmp_path}/e").collect()} == want
+
+
+def test_requests_of_texts_that_differ_in_their_middle(spark, tmp_path):
+    from quaylark.plans import registry
+
+    a, b = "word " * 2000, "end " * 2000
+    rows = [(1, a + "x" + b, "s"), (2, a + "token" + b, "s"), (3, a + "y" + b, "s"), (4, a + "y" + b, "t"), (5, "short", "s"), (6, None, "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.event_type, r.scope): (r.rows_, r.requests) for r in registry.QUERIES["label_requests"](spark, str(tmp_path)).collect()}
+    assert got == {("plain", "single"): (3, 3), ("plain", "MULTI"): (2, 1), ("secret", "single"): (1, 1)}

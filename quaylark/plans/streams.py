@@ -56,8 +56,7 @@ def stream_outcomes_later(spark, d):
 @query(f"WITH stories AS ({_STORY}) SELECT id, root FROM stories")
 def stream_stories(spark, d):
     """Stories by state over a stream; a test holds them against the batch operator."""
-    schema = spark.read.parquet(f"{d}/embeddings.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(d)
+    rows = R.table_stream(spark, f"{d}/embeddings.parquet")
     norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))
     rows = rows.select(F.col("label").alias("key"), F.col("vec_id").alias("id"), F.timestamp_seconds("vec_id").alias("ts"), F.transform("embedding", lambda x: x.cast("double")).alias("e")).withColumn("l", norm)
     rows = rows.select("key", "id", "ts", F.transform("e", lambda x: x / F.col("l")).alias("vec"))

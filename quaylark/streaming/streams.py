@@ -19,6 +19,12 @@ from pyspark.sql import functions as F
 from quaylark.session import shared_dir, ship
 
 
+def table_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A table, which is one Parquet file or a folder of them, as a stream; all there is now is one batch."""
+    # as a pattern, since a stream takes a plain path for a folder
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def event_stream(spark: SparkSession, path: str, files: int = 1, pattern: str = "*.parquet") -> DataFrame:
     """The Parquet files of a folder as a stream with event time ts."""
     schema = spark.read.option("pathGlobFilter", pattern).parquet(path).schema
@@ -60,13 +66,13 @@ def assign_stories(rows: DataFrame, look_back_s: float, threshold: float) -> Dat
     def step(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         past = json.loads(state.get[0]) if state.exists else []
         out = []
-        for pdf in parts:
-            for r in pdf.sort_values(["t", "id"]).itertuples():
-                past = [p for p in past if p[0] >= r.t - look_back_s]
-                best = max(((round(sum(x * y for x, y in zip(r.vec, p[2])), 9), -p[0], -p[1], p[3]) for p in past), default=None)
-                root = best[3] if best and best[0] >= threshold else r.id
-                past.append([r.t, r.id, [float(x) for x in r.vec], int(root)])
-                out.append((r.id, key[0], root))
+        # a key's items of a batch come in parts that aren't in order
+        for r in pd.concat(list(parts)).sort_values(["t", "id"]).itertuples():
+            past = [p for p in past if p[0] >= r.t - look_back_s]
+            best = max(((round(sum(x * y for x, y in zip(r.vec, p[2])), 9), -p[0], -p[1], p[3]) for p in past), default=None)
+            root = best[3] if best and best[0] >= threshold else r.id
+            past.append([r.t, r.id, [float(x) for x in r.vec], int(root)])
+            out.append((r.id, key[0], root))
         state.update((json.dumps(past),))
         yield pd.DataFrame(out, columns=["id", "key", "root"])
 

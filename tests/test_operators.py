@@ -306,6 +306,20 @@ def test_news_heat_gap_of_exact_halves(spark, tmp_path):
     assert {r.ticker: r.tone_gap for r in registry.QUERIES["news_heat_context"](spark, f"{tmp_path}/e").collect()} == want
 
 
+def test_stream_stories_of_a_table_of_several_files(spark, tmp_path):
+    from quaylark.plans import registry
+
+    source = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{source}/embeddings.parquet").repartition(3, "vec_id").sortWithinPartitions(F.xxhash64("vec_id")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert len(list((tmp_path / "embeddings.parquet").glob("*.parquet"))) > 1
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.id: r.root for r in registry.QUERIES["stream_stories"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {r.id: r.root for r in registry.QUERIES["story_clusters"](spark, source).collect()}
+
+
 def test_requests_of_texts_that_differ_in_their_middle(spark, tmp_path):
     from quaylark.plans import registry
 

@@ -116,7 +116,7 @@ def hot_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]
         return np.empty(0, np.uint64), np.empty(0, np.int64)
 
     def often(batches):
-        for held in common.rows_of(batches, lower=True):
+        for held in common.rows_of(batches, common.FLUSH_WORDS // 2, lower=True):
             _, doc, h = block_sets(held, shingle)
             values, counts = np.unique(h, return_counts=True)
             kept = counts >= max(2, len(held) * least // (2 * size))
@@ -133,7 +133,9 @@ def hot_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]
 
     summed = lambda df: df.groupBy("h").agg(F.sum("n").alias("n"))
     rows = docs.select("doc_id", "text")
-    found = summed(common.sampled(rows, ["doc_id"], size).mapInArrow(often, "h long, n long")).where(F.col("n") >= least)
+    # the sample is cut by the ids' hashes alone: no task sorts or holds the texts, each looks at its own
+    last = common.sampled(docs.select("doc_id"), ["doc_id"], size).agg(F.max(F.xxhash64("doc_id"))).first()[0]
+    found = summed(rows.where(F.xxhash64("doc_id") <= last).mapInArrow(often, "h long, n long")).where(F.col("n") >= least)
     hot = np.sort(np.array([r.h for r in found.select("h").collect()], np.uint64))  # size * shingles of a document / least at most
     counts = np.full(len(hot), 2, np.int64)
     if len(hot):

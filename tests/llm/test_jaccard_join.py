@@ -135,3 +135,15 @@ def test_very_long_texts_and_hubs(spark, monkeypatch):
     edges = [(0, k) for k in range(1, 200)] + [(k, 1000) for k in range(150, 260)] + [(5000 + k, 5001 + k) for k in range(50)] + [(1, 1)]
     found = {r.id: r.component for r in jaccard_join.common.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
     assert found == {k: 0 for k in [*range(260), 1000]} | {5000 + k: 5000 for k in range(51)}
+
+
+def test_sample_for_hot_shingles_moves_no_texts(spark, monkeypatch):
+    from quaylark.llm import common, jaccard_join
+
+    for name, value in (("HOT", 50), ("HOT_LEAST", 5), ("SAMPLE", 60)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    seen, real = [], common.sampled
+    monkeypatch.setattr(common, "sampled", lambda rows, by, most: seen.append(rows.columns) or real(rows, by, most))
+    docs = spark.createDataFrame([(k, f"a line that all of them have {k} {k + 1} {k + 2}") for k in range(200)], "doc_id long, text string")
+    hot, counts = jaccard_join.hot_shingles(docs, 5)
+    assert seen == [["doc_id"]] and len(hot) == 3 and (counts == 200).all()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quaylark.functions import text as X
 from quaylark.plans.registry import query
-from quaylark.plans.tables import table
+from quaylark.plans.tables import rounded, table
 
 
 @query(r"""WITH u AS (SELECT page_id, url, 'https://' || regexp_replace(lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1)), '^www\.', '') AS host, regexp_replace(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS path FROM pages),
@@ -115,16 +115,10 @@ x AS (SELECT doc_id, source, t.w, (1 + ln(tf)) * (ln((1.0 + n) / (1 + df)) + 1)
 c AS (SELECT a.doc_id, b.doc_id AS other, sum(a.v * b.v) AS c FROM l a JOIN l b ON a.source = b.source AND a.w = b.w AND b.doc_id < a.doc_id AND b.doc_id >= a.doc_id - 200 GROUP BY 1, 2)
 SELECT d.doc_id, round(1 - coalesce(max(c), 0), 5) AS novelty FROM d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY 1""")
 def novelty_cosine(spark, d):
-    from quaylark.operators.models import tfidf
+    from quaylark.operators.models import nearest_before
 
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", F.array_remove(F.split(F.lower("text"), r"[^\p{L}]+"), "").alias("terms"))
-    x = tfidf(docs, 2).join(docs.select("id", "source"), "id")
-    # the band of 200 before is met by buckets of 200
-    a = x.withColumn("b", F.floor(F.col("id") / 200))
-    b = x.select("source", "term", F.col("id").alias("id2"), F.col("weight").alias("w2"), F.explode(F.array(F.floor(F.col("id") / 200), F.floor(F.col("id") / 200) + 1)).alias("b"))
-    near = a.join(b, ["source", "term", "b"]).where("id2 < id AND id2 >= id - 200").groupBy("id", "id2").agg(F.sum(F.col("weight") * F.col("w2")).alias("c"))
-    top = near.groupBy("id").agg(F.max("c").alias("c"))
-    return docs.select("id").join(top, "id", "left").select(F.col("id").alias("doc_id"), F.round(1 - F.coalesce("c", F.lit(0.0)), 5).alias("novelty"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " ").alias("words"))
+    return nearest_before(docs, 2, 200).select(F.col("id").alias("doc_id"), rounded(1 - F.col("c"), 5).alias("novelty"))
 
 
 @query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(source || ', ' || lang || ',zz', ','), lambda x: trim(x)), lambda x: x IN ('en', 'fr', 'src1', 'src2')))), ',') AS groups FROM documents")

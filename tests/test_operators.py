@@ -328,3 +328,18 @@ def test_requests_of_texts_that_differ_in_their_middle(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.event_type, r.scope): (r.rows_, r.requests) for r in registry.QUERIES["label_requests"](spark, str(tmp_path)).collect()}
     assert got == {("plain", "single"): (3, 3), ("plain", "MULTI"): (2, 1), ("secret", "single"): (1, 1)}
+
+
+def test_novelty_at_the_borders_of_blocks_and_bands(spark, tmp_path):
+    import duckdb
+
+    from quaylark.plans import registry
+
+    rng, words = random.Random(8), [f"{a}{b}" for a in "abcdefgh" for b in "xyzuvw"]
+    ids = [-1, 0, 1, 199, 200, 201, 799, 800, 801, 998, 999, 1000, 1001, 1199, 1200, 1201, 1400, 1999, 2000, 2199, 2200, 5000]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(1, 30))), rng.choice(["s", "s", "t", None])) for i in ids]
+    rows += [(1001, "ax by cz", "s"), (1002, None, "s"), (1003, "", "s"), (1004, "1 2 3", "s"), (1005, rows[11][1], "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = duckdb.sql(registry.ORACLES["novelty_cosine"].replace("FROM documents", f"FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")).fetchall()
+    got = [(r.doc_id, r.novelty) for r in registry.QUERIES["novelty_cosine"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(got) == len(ids) + 4

@@ -1,9 +1,11 @@
 """N-gram Jaccard join: connected components of documents whose word-shingle sets are alike, by a prefix-tree join.
 
 1. Every document's distinct shingles (5 words, A-Z lower-cased; shorter texts: all words as one) are hashed and counted
-   in buckets of hash values. A bucket answers with each document's number of shingles that no other document has, and
-   its shared shingles with their document counts. Shingles that a sample finds in very many documents would fill their
-   bucket: these are counted (over all documents) by task before they are shuffled, and go straight to their documents.
+   in buckets of hash values. A bucket answers with each document's shared shingles and their document counts. On the way
+   documents go by their place (task, block of words, place in the block), whose differences fit a byte or two where those of
+   ids take eight for each bucket that a document meets; ids and set sizes are sent once. Shingles that a sample finds in
+   very many documents would fill their bucket: these are counted (over all documents) by task before they are shuffled, and
+   go straight to their documents.
 2. Sets are ordered rarest shingle first. Two sets can be alike only if their prefixes of n - ceil(t n) + 1 shingles
    meet. A set whose prefix is all its own has no partner and goes no further. Equal sets become one class.
 3. Classes that meet in a prefix shingle form groups, by star edges and not by pairs. A group's sets meet in one task, are
@@ -23,6 +25,7 @@ the least, 1e-8 for two sets of 500; a link changes only if the pair is that nea
 Rows are known by doc_id and text, so rows that share a doc_id (or have none) are each judged by their own text; equal rows
 alike. Null or empty texts have empty sets and are linked with nothing. A component is named by the least doc_id that isn't
 null in it. Very long texts are read whole, a block of words at a time at most one text more. Other columns are ignored.
+Input must come in the same order if a task is run again, as files do and shuffled rows may not.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +52,9 @@ LEAST_CHUNK = 5_000
 #: Documents that a bucket may hold of one shingle by far, and rows of the sample that looks for such shingles: a thousandth of
 #: all within these bounds. A shingle of HOT_LEAST rows of the sample is the rarest that can be told.
 HOT, HOT_LEAST, SAMPLE, MOST_SAMPLE = 10_000, 20, 20_000, 1_000_000
-_HOT_MARK = 0xFFFFFFFF
+_HOT_MARK, _NAME_MARK = 0xFFFFFFFF, 0xFFFFFFFE
+#: Bits of a document's place for the place in its block and for the block in its task.
+PLACE_BITS, BLOCK_BITS = 20, 22
 
 _SETS = "doc_id long, n long, digest binary, packed binary, prefix array<long>"
 
@@ -104,6 +110,29 @@ def read_hot(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(common.unplanes(packed[8:], c, 8).astype(np.int64)), common.unplanes(packed[8 + 8 * c :], c, 4).astype(np.int64)
 
 
+def places(task: int, block: int, n: int) -> np.ndarray:
+    """Numbers of the n documents of a task's block, unlike all others."""
+    if n > 1 << PLACE_BITS or block >= 1 << BLOCK_BITS or task >= 1 << 63 - PLACE_BITS - BLOCK_BITS:
+        raise ValueError(f"no place for {n} documents of block {block} of task {task}")
+    return np.arange(n, dtype=np.int64) + (task << PLACE_BITS + BLOCK_BITS | block << PLACE_BITS)
+
+
+def name_messages(place: np.ndarray, ids: np.ndarray, sizes: np.ndarray, to: np.ndarray) -> list[tuple[int, bytes]]:
+    """Places of documents with their ids and set sizes, packed into one row for each part of the documents. All in order of to."""
+    out = []
+    for a, c in zip(*(x.tolist() for x in _grouped(to))):
+        head = np.array([_NAME_MARK, c], "<u4").tobytes()
+        out.append((int(to[a]), head + common.planes(np.diff(place[a : a + c], prepend=0), 8) + common.planes(sizes[a : a + c], 4) + common.planes(ids[a : a + c], 8)))
+    return out
+
+
+def read_names(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, ids, sizes."""
+    c = int(np.frombuffer(packed, "<u4", 2)[1])
+    place, sizes = np.cumsum(common.unplanes(packed[8:], c, 8).astype(np.int64)), common.unplanes(packed[8 + 8 * c :], c, 4).astype(np.int64)
+    return place, common.unplanes(packed[8 + 12 * c :], c, 8).astype(np.int64), sizes
+
+
 def hot_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, in order, of shingles that fill their bucket, and the number of documents of each.
 
@@ -155,38 +184,47 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, like: int = LIKE) -> D
     hot_held = docs.sparkSession.sparkContext.broadcast((hot, hot_counts, hot_tokens))  # bounded by the sample
 
     def send(batches):
-        hot = hot_held.value[0]
-        for held in common.rows_of(batches, lower=True):
-            ids, doc, h = block_sets(held, shingle)
+        hot, task = hot_held.value[0], TaskContext.get().partitionId()
+        for block, held in enumerate(common.rows_of(batches, lower=True)):
+            # by the part of the documents where each is gathered, so that places and parts rise together
+            part = common.mixed(np.array([i for i, _ in held], np.int64)) % np.uint64(buckets)
+            ids, doc, h = block_sets([held[k] for k in np.argsort(part, kind="stable").tolist()], shingle)
             if not len(h):
                 continue
-            rows = []
+            place, parts = places(task, block, len(ids)), (common.mixed(ids) % np.uint64(buckets)).astype(np.int64)
+            rows = name_messages(place, ids, np.bincount(doc, minlength=len(ids)), parts)
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
                 is_hot = hot[at] == h
-                rows = hot_messages(ids[doc[is_hot]], at[is_hot], buckets)
+                rows += hot_messages(ids[doc[is_hot]], at[is_hot], buckets)
                 doc, h = doc[~is_hot], h[~is_hot]
             q, bucket = np.divmod(h, np.uint64(buckets))
             by = np.argsort(bucket, kind="stable")
             for a, c in zip(*(x.tolist() for x in _grouped(bucket[by]))):
                 at = by[a : a + c]
                 begins, lengths = _grouped(doc[at])
-                named = ids[doc[at[begins]]]
-                rows.append((int(bucket[at[0]]), np.array([c, len(begins)], "<u4").tobytes() + common.planes(np.diff(named, prepend=0), 8) + common.planes(lengths, 4) + common.planes(q[at], Q_BYTES)))
+                who = doc[at[begins]]
+                head = np.array([c, len(begins)], "<u4").tobytes() + common.planes(np.diff(place[who], prepend=0), 8) + common.planes(np.diff(parts[who], prepend=0), 4)
+                rows.append((int(bucket[at[0]]), head + common.planes(lengths, 4) + common.planes(q[at], Q_BYTES)))
             yield pa.RecordBatch.from_pydict({"bucket": [r[0] for r in rows], "packed": [r[1] for r in rows]}, schema=pa.schema([("bucket", pa.int32()), ("packed", pa.binary())]))
 
     def count(table: pa.Table) -> pa.Table:
-        here, ids, q, direct = table.column("bucket")[0].as_py(), [], [], []
+        here, ids, q, places_, parts, direct = table.column("bucket")[0].as_py(), [], [], [], [], []
         out = {"to": [], "packed": []}
         for packed in table.column("packed").to_pylist():
             if packed[:4] == b"\xff\xff\xff\xff":
                 direct.append(read_hot(packed))
                 continue
+            if packed[:4] == b"\xfe\xff\xff\xff":  # of the documents that are gathered under this number
+                out["to"].append(here)
+                out["packed"].append(packed)
+                continue
             c, m = (int(x) for x in np.frombuffer(packed, "<u4", 2))
-            named = np.cumsum(common.unplanes(packed[8:], m, 8).astype(np.int64))
-            ids.append(np.repeat(named, common.unplanes(packed[8 + 8 * m :], m, 4).astype(np.int64)))
-            q.append(common.unplanes(packed[8 + 12 * m :], c, Q_BYTES))
-        if direct:  # of the documents that are gathered under this number; equal rows send the same
+            places_.append(np.cumsum(common.unplanes(packed[8:], m, 8).astype(np.int64)))
+            parts.append(np.cumsum(common.unplanes(packed[8 + 8 * m :], m, 4).astype(np.int64)))
+            ids.append(np.repeat(places_[-1], common.unplanes(packed[8 + 12 * m :], m, 4).astype(np.int64)))
+            q.append(common.unplanes(packed[8 + 16 * m :], c, Q_BYTES))
+        if direct:  # of these documents too; equal rows send the same
             pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*direct)]), axis=1)
             for to, packed in hot_messages(pairs[0], pairs[1], buckets):
                 out["to"].append(to)
@@ -200,49 +238,53 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, like: int = LIKE) -> D
         new[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])
         ids, q = ids[new], q[new]
         df = np.repeat(*(lambda b, n: (n, n))(*_grouped(q)))
-        to = common.mixed(ids) % np.uint64(buckets)
+        ids, q, df = ids[df > 1], q[df > 1], df[df > 1]
+        places_, parts = np.concatenate(places_), np.concatenate(parts)
+        order = np.argsort(places_)
+        to = parts[order][np.searchsorted(places_, ids, sorter=order)]
         order = np.lexsort((ids, to))
         ids, q, df, to = ids[order], q[order], df[order], to[order]
         for a, c in zip(*(x.tolist() for x in _grouped(to))):
             i, d = ids[a : a + c], df[a : a + c]
             begins, lengths = _grouped(i)
-            shared = d > 1
-            ns = np.add.reduceat(shared.astype(np.int64), begins)
-            head = np.array([here, len(begins), int(shared.sum())], "<u4").tobytes()
+            head = np.array([here, len(begins), c], "<u4").tobytes()
             out["to"].append(int(to[a]))
-            out["packed"].append(head + common.planes(np.diff(i[begins], prepend=0), 8) + common.planes(lengths, 4) + common.planes(ns, 4) + common.planes(d[shared], 4) + common.planes(q[a : a + c][shared], Q_BYTES))
+            out["packed"].append(head + common.planes(np.diff(i[begins], prepend=0), 8) + common.planes(lengths, 4) + common.planes(d, 4) + common.planes(q[a : a + c], Q_BYTES))
         return pa.table({"to": pa.array(out["to"], pa.int32()), "packed": pa.array(out["packed"], pa.binary())})
 
     def gather(table: pa.Table) -> pa.Table:
-        ids, n, shared_ids, tokens, dfs = [], [], [], [], []
-        for packed in table.column("packed").to_pylist():
+        rows = table.column("packed").to_pylist()
+        place, ids, total = map(np.concatenate, zip(*(read_names(x) for x in rows if x[:4] == b"\xfe\xff\xff\xff")))
+        order = np.lexsort((place, ids))
+        first = order[_grouped(ids[order])[0]]  # equal rows have one id and several places: one will do
+        wanted = np.zeros(len(ids), bool)
+        wanted[first] = True
+        order = np.argsort(place)
+        by_place, id_of, wanted = place[order], ids[order], wanted[order]
+        ids, total = ids[first], total[first]
+        none = np.empty(0, np.int64)
+        shared_ids, tokens, dfs = [none], [none], [none]
+        for packed in rows:
+            if packed[:4] == b"\xfe\xff\xff\xff":
+                continue
             if packed[:4] == b"\xff\xff\xff\xff":
                 i, at = read_hot(packed)
-                ids.append(i)
-                n.append(np.ones(len(i), np.int64))
                 shared_ids.append(i)
                 dfs.append(hot_held.value[1][at])
                 tokens.append(hot_held.value[2][at])
                 continue
             here, m, s = (int(x) for x in np.frombuffer(packed, "<u4", 3))
-            at = 12
-            i = np.cumsum(common.unplanes(packed[at:], m, 8).astype(np.int64))
-            at += 8 * m
-            lengths = common.unplanes(packed[at:], m, 4).astype(np.int64)
-            at += 4 * m
-            ns = common.unplanes(packed[at:], m, 4).astype(np.int64)
-            at += 4 * m
-            ids.append(i)
-            n.append(lengths)
-            shared_ids.append(np.repeat(i, ns))
-            dfs.append(common.unplanes(packed[at:], s, 4).astype(np.int64))
-            at += 4 * s
-            tokens.append(common.unplanes(packed[at:], s, Q_BYTES).astype(np.int64) * buckets + here)
-        ids, n, shared_ids, tokens, dfs = map(np.concatenate, (ids, n, shared_ids, tokens, dfs))
-        order = np.argsort(ids, kind="stable")
-        begins, _ = _grouped(ids[order])
-        total = np.add.reduceat(n[order], begins)
-        ids = ids[order][begins]
+            i = np.repeat(np.cumsum(common.unplanes(packed[12:], m, 8).astype(np.int64)), common.unplanes(packed[12 + 8 * m :], m, 4).astype(np.int64))
+            d = common.unplanes(packed[12 + 12 * m :], s, 4).astype(np.int64)
+            t = common.unplanes(packed[12 + 12 * m + 4 * s :], s, Q_BYTES).astype(np.int64) * buckets + here
+            at = np.minimum(np.searchsorted(by_place, i), len(by_place) - 1)
+            if (by_place[at] != i).any():
+                raise RuntimeError("the rows came in another order when a task was run again")
+            kept = wanted[at]
+            shared_ids.append(id_of[at[kept]])
+            dfs.append(d[kept])
+            tokens.append(t[kept])
+        shared_ids, tokens, dfs = map(np.concatenate, (shared_ids, tokens, dfs))
         order = np.lexsort((tokens, dfs, shared_ids))
         shared_ids, tokens, dfs = shared_ids[order], tokens[order], dfs[order]
         lo, hi = np.searchsorted(shared_ids, ids, "left"), np.searchsorted(shared_ids, ids, "right")
@@ -405,8 +447,10 @@ def linked_rows(docs: DataFrame, shingle: int = SHINGLE, like: int = LIKE) -> tu
     member = stored(open_.select("doc_id", "n", "digest").join(classes, ["digest", "n"]).select("doc_id", "rep"), "member")
     copies = member.where("doc_id <> rep").select("doc_id")
     reps = open_.join(copies, "doc_id", "left_anti")
+    # (the sets themselves are not wanted here: they stay out of the join)
+    prefixes = open_.select("doc_id", (F.octet_length("packed") / 12).cast("long").alias("size"), "prefix").join(copies, "doc_id", "left_anti")
     # groups that meet in a prefix shingle: star edges to the least member
-    posted = stored(reps.select(F.col("doc_id").alias("id"), (F.octet_length("packed") / 12).cast("long").alias("size"), F.posexplode("prefix").alias("pos", "token")), "posted")
+    posted = stored(prefixes.select(F.col("doc_id").alias("id"), "size", F.posexplode("prefix").alias("pos", "token")), "posted")
     n_posted = posted.count()
     tokens = stored(posted.groupBy("token").agg(F.min("id").alias("m"), F.count("*").alias("c"), F.sum("size").alias("load")).where("c > 1"), "tokens")
     shared = stored(common.met(posted, tokens, "token", n_posted), "shared")

@@ -147,3 +147,55 @@ def test_sample_for_hot_shingles_moves_no_texts(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"a line that all of them have {k} {k + 1} {k + 2}") for k in range(200)], "doc_id long, text string")
     hot, counts = jaccard_join.hot_shingles(docs, 5)
     assert seen == [["doc_id"]] and len(hot) == 3 and (counts == 200).all()
+
+
+def test_ids_do_not_outweigh_hashes_in_many_buckets(monkeypatch):
+    # at 30 GB a document meets each bucket with one shingle or two; its id must not be sent in full with each
+    import zlib
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    class Docs:
+        """Keeps the functions that shingle_sets gives to Spark."""
+
+        def __init__(self):
+            self.steps = []
+            self.sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x)))
+
+        def select(self, *_):
+            return self
+
+        groupBy = select
+
+        def mapInArrow(self, f, _):
+            self.steps.append(f)
+            return self
+
+        applyInArrow = mapInArrow
+
+    monkeypatch.setattr(jaccard_join, "ship", lambda _: None)
+    monkeypatch.setattr(jaccard_join, "hot_shingles", lambda *_: (np.empty(0, np.uint64), np.empty(0, np.int64)))
+    monkeypatch.setattr(jaccard_join.common, "bucket_count", lambda _: 60)
+    monkeypatch.setattr(jaccard_join, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)), raising=False)
+    send, count, gather = jaccard_join.shingle_sets(docs := Docs()) and docs.steps
+
+    def grouped(tables, key):
+        table = pa.concat_tables(tables)
+        return [table.filter(pa.compute.equal(table[key], k)) for k in sorted(set(table[key].to_pylist()))]
+
+    import pyarrow.compute  # noqa: F401
+
+    rng = random.Random(4)
+    ids = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(2000)]
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(64)) for _ in range(1000)] * 2  # each text twice
+    rows = pa.RecordBatch.from_pydict({"doc_id": [*ids, ids[0]], "text": [*texts, texts[0]]})  # and one row again
+    sent = [pa.Table.from_batches([b]) for b in send([rows])]
+    answers = [count(t) for t in grouped(sent, "bucket")]
+    size = lambda tables: sum(len(zlib.compress(b"".join(t["packed"].to_pylist()), 1)) for t in tables) / (2001 * 60)
+    sizes = size(sent), size(answers)
+    assert max(sizes) < 8.5, sizes
+    got = [r for t in grouped(answers, "to") for r in gather(t).to_pylist()]
+    assert sorted(r["doc_id"] for r in got) == sorted(ids) and {r["n"] for r in got} == {60}
+    digests = {r["doc_id"]: r["digest"] for r in got}
+    assert all(digests[a] == digests[b] for a, b in zip(ids[:1000], ids[1000:])) and len(set(digests.values())) == 1000
